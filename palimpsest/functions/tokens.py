@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest import vocab as V
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``.
+
+    A Column used twice is an expression tree copied twice; binding it as a lambda variable
+    keeps long expressions linear.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ws_class(pattern: str) -> str:
     """Expand ``[WS]`` in a pattern to the explicit whitespace class."""
     return pattern.replace("[WS]", "[" + V.WS + "]")
@@ -66,15 +77,21 @@ def cjk_bigrams(text: Column) -> Column:
 
 
 def surface_terms(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return F.concat(_surface_words(words(text)), cjk_bigrams(text))
+    return let(
+        F.coalesce(text, F.lit("")),
+        lambda t: F.concat(_surface_words(words(t)), cjk_bigrams(t)),
+    )
 
 
 def tokens(text: Column) -> Column:
     """All tokens with repeats: whole words, parts of compound identifiers, CJK pairs."""
-    text = F.coalesce(text, F.lit(""))
-    ws = words(text)
-    return F.concat(_surface_words(ws), _identifier_parts(ws), cjk_bigrams(text))
+    return let(
+        F.coalesce(text, F.lit("")),
+        lambda t: F.concat(
+            let(words(t), lambda ws: F.concat(_surface_words(ws), _identifier_parts(ws))),
+            cjk_bigrams(t),
+        ),
+    )
 
 
 def token_set(text: Column) -> Column:
@@ -87,19 +104,23 @@ def evidence_floor(text: Column) -> Column:
 
 
 def estimate_tokens(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    ink = F.regexp_replace(text, ws_class("[WS]+"), "")
-    other = F.length(F.regexp_replace(ink, f"[{V.CJK}]+", ""))
-    cjk = F.length(ink) - other
-    return F.ceil(cjk * F.lit(0.85) + other / F.lit(4.0)).cast("int")
+    ink = F.regexp_replace(F.coalesce(text, F.lit("")), ws_class("[WS]+"), "")
+
+    def units(x: Column) -> Column:
+        other = F.length(F.regexp_replace(x, f"[{V.CJK}]+", ""))
+        return let(
+            other, lambda o: F.ceil((F.length(x) - o) * F.lit(0.85) + o / F.lit(4.0)).cast("int")
+        )
+
+    return let(ink, units)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two token sets; 0 when either is empty."""
-    inter = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        inter / (F.size(a) + F.size(b) - inter)
+    shared = let(
+        F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n)
     )
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared)
 
 
 def containment(a: Column, b: Column) -> Column:

@@ -18,6 +18,7 @@ def local_session(app: str = "palimpsest", cores: str = "*", partitions: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -28,7 +29,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="palimpsest-ckpt-"))
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="palimpsest-ckpt-")
+    sc.setCheckpointDir(shared)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -39,3 +44,13 @@ def settle(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash rows by ``cols`` into the session's full shuffle width.
+
+    An explicit count keeps the width: adaptive execution would merge these partitions by bytes,
+    while text work on them is bound by CPU.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *cols)

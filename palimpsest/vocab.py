@@ -31,11 +31,11 @@ RECALL_HEADER = (
 # --- fixed values: character classes ------------------------------------------------------
 # Whitespace as regular expressions and trimming understand it in the record format.
 WS = (
-    "\t\n\x0b\x0c\r            "
-    "      　﻿"
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 # CJK ideographs (base, extension A, compatibility), kana, hangul syllables.
-CJK = "㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
+CJK = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\uac00-\ud7af"
 
 # --- fixed values: stop lists ---------------------------------------------------------------
 STOP_WORDS = [
