@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-AREAS = ["search_queries"]
+AREAS = ["search_queries", "tier_queries"]
 
 
 class Registry:
