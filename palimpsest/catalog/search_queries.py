@@ -6,15 +6,22 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import Registry
 from palimpsest.catalog import sqlparts as S
-from palimpsest.operators.index import build_index
+from palimpsest.operators.index import BlockIndex, build_index
 from palimpsest.operators.search import denominators, idf, query_terms, search, weighted_terms
 from palimpsest.sources.tables import document_records, questions
 
 registry = Registry()
 
 
+_INDEXES: dict[tuple[str, str], BlockIndex] = {}
+
+
 def _index(spark, sf_dir):
-    return build_index(document_records(spark, sf_dir)).settled()
+    """The written index of one data folder, built once per application and then reread."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(document_records(spark, sf_dir)).settled()
+    return _INDEXES[key]
 
 
 @registry.add(

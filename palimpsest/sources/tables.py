@@ -60,7 +60,7 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.col("role")
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session"),
-        F.col("turn").alias("seq"),
+        (F.col("turn") + 1).alias("seq"),
         F.when(role == "assistant", "assistant/message").otherwise("user/message").alias("type"),
         F.when(role == "system", "system").otherwise("user").alias("kind"),
         F.col("text"),
