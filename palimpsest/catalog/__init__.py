@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-AREAS = ["search_queries", "tier_queries", "text_queries", "event_queries"]
+AREAS = ["search_queries", "tier_queries", "text_queries", "event_queries", "recall_queries"]
 
 
 class Registry:

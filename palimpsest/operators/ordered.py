@@ -75,26 +75,26 @@ def exact_rank(df: DataFrame, keys: list[str], order: list[Column], out: str) ->
     settled, because positions and partition totals must come from the same partitioning. Pass
     thin rows: only the keys, the order and an identifier. ``order`` must be total within a key.
     """
-    named = [c.alias(f"_o{i}") for i, c in enumerate(order)]
-    sort = [*keys, *(f"_o{i}" for i in range(len(order)))]
+    named = [c.alias(f"_row_key{i}") for i, c in enumerate(order)]
+    sort = [*keys, *(f"_row_key{i}" for i in range(len(order)))]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = settle(
         df.select("*", *named)
         .repartitionByRange(parts, *sort)
         .sortWithinPartitions(*sort)
-        .withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_part", F.shiftright("_at", 33))
-    by_part = [*keys, "_part"]
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        .withColumn("_row_id", F.monotonically_increasing_id())
+    ).withColumn("_row_part", F.shiftright("_row_id", 33))
+    by_part = [*keys, "_row_part"]
+    before = Window.partitionBy(*keys).orderBy("_row_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy(*by_part)
-        .agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-        .select(*by_part, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .agg(F.min("_row_id").alias("_row_first"), F.count("*").alias("_row_count"))
+        .select(*by_part, "_row_first", F.coalesce(F.sum("_row_count").over(before), F.lit(0)).alias("_row_offset"))
     )
     return (
         rows.join(starts, by_part)
-        .withColumn(out, F.col("_at") - F.col("_first") + F.col("_offset"))
-        .drop("_part", "_at", "_first", "_offset", *(f"_o{i}" for i in range(len(order))))
+        .withColumn(out, F.col("_row_id") - F.col("_row_first") + F.col("_row_offset"))
+        .drop("_row_part", "_row_id", "_row_first", "_row_offset", *(f"_row_key{i}" for i in range(len(order))))
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest import vocab as V
 from palimpsest.functions.sanitize import sanitize
 from palimpsest.operators.ordered import SLICE_WIDTH, row_number
+from palimpsest.session import settle
 
 SLICE = 2048
 GROUP = 2048
@@ -85,7 +86,7 @@ def greedy_chunks(pieces: DataFrame, key: str, target: int = V.RAW_TARGET_CHARS)
     A piece joins the open chunk while chunk + gap + piece stays within ``target``.
     """
     reach = target // (SHORTEST_PIECE + PIECE_GAP) + 2
-    by_slice = (
+    by_slice = settle(
         pieces.withColumn("slice", F.expr(f"n div {SLICE}"))
         .groupBy(key, "slice")
         .agg(F.array_sort(F.collect_list(F.struct("n", "size"))).alias("_own"))
@@ -101,7 +102,7 @@ def greedy_chunks(pieces: DataFrame, key: str, target: int = V.RAW_TARGET_CHARS)
         key, "slice", F.expr(f"slice div {GROUP}").alias("grp"),
         F.slice(_exit_map(target)("sizes", "lead"), 1, reach).alias("exits"),
     )
-    groups = (
+    groups = settle(
         maps.groupBy(key, "grp")
         .agg(F.array_sort(F.collect_list(F.struct("slice", "exits"))).alias("_maps"))
         .withColumn("maps", F.transform("_maps", lambda m: m["exits"]))
@@ -160,8 +161,8 @@ def turn_pieces(turns: DataFrame) -> DataFrame:
 
 def packed_chunks(turns: DataFrame, key: str) -> DataFrame:
     """``key, chunk, seq, question, text``: turns packed to about 900 characters."""
-    numbered = row_number(turn_pieces(turns), [key], "seq", "_n").withColumn(
-        "n", F.col("_n") - 1
+    numbered = settle(
+        row_number(turn_pieces(turns), [key], "seq", "_n").withColumn("n", F.col("_n") - 1)
     )
     placed = numbered.join(greedy_chunks(numbered.select(key, "n", "size"), key), [key, "n"])
     ordered = F.array_sort(F.collect_list(F.struct("n", "piece")))
