@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-AREAS = ["search_queries", "tier_queries", "text_queries", "event_queries", "recall_queries"]
+AREAS = [
+    "search_queries", "tier_queries", "text_queries", "event_queries", "recall_queries",
+    "store_queries", "diagnose_queries",
+]
 
 
 class Registry:

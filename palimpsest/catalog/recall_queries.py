@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from palimpsest import vocab as V
 from palimpsest.catalog import Registry
 from palimpsest.catalog import sqlparts as S
-from palimpsest.catalog.search_queries import _index
+from palimpsest.catalog.search_queries import _index, stored_records
 from palimpsest.operators.recall import format_recall, fresh_hits, recall_line
 from palimpsest.operators.recap import _header_tokens, recap, recap_candidates
 from palimpsest.operators.tiers import two_tier
 from palimpsest.session import spread
-from palimpsest.sources.tables import document_blocks, document_records, questions
+from palimpsest.sources.tables import document_blocks, questions
 
 registry = Registry()
 
@@ -20,7 +20,7 @@ registry = Registry()
 @registry.add("recall_lines")
 def recall_lines(spark, sf_dir):
     """A recall line for every document block; half are phrased as question and answer."""
-    records = spread(document_records(spark, sf_dir), "ord")
+    records = spread(stored_records(spark, sf_dir), "ord")
     text = F.when(
         F.col("ord") % 2 == 0,
         F.concat(F.lit("问："), "title", F.lit("\n答："), F.replace("text", F.lit(". "), F.lit("! "))),
@@ -71,7 +71,7 @@ cand AS MATERIALIZED (
     f"WITH {S.RECORDS}, {_CANDIDATES} SELECT session, ord, title, round(score, 6) AS score FROM cand",
 )
 def recap_ranking(spark, sf_dir):
-    return recap_candidates(document_records(spark, sf_dir)).select(
+    return recap_candidates(stored_records(spark, sf_dir)).select(
         "session", "ord", "title", F.round("score", 6).alias("score")
     )
 
@@ -104,7 +104,7 @@ texts AS (SELECT f.session, count(*) AS lines, {S.q(V.RECAP_HEADER)} || chr(10)
 SELECT session, text, {S.estimate('text')}::BIGINT AS tokens, lines FROM texts""",
 )
 def recap_block(spark, sf_dir):
-    out = recap(document_records(spark, sf_dir))
+    out = recap(stored_records(spark, sf_dir))
     return out.select(
         "session", "text", F.col("tokens").cast("bigint").alias("tokens"),
         F.col("lines").cast("bigint").alias("lines"),

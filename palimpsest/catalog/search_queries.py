@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Registry
 from palimpsest.catalog import sqlparts as S
 from palimpsest.operators.index import BlockIndex, build_index
 from palimpsest.operators.search import denominators, idf, query_terms, search, weighted_terms
+from palimpsest.session import settle
 from palimpsest.sources.tables import document_records, questions
 
 registry = Registry()
 
 
+_RECORDS: dict[tuple[str, str], DataFrame] = {}
 _INDEXES: dict[tuple[str, str], BlockIndex] = {}
 
 
+def stored_records(spark, sf_dir):
+    """The written record table of one data folder, made once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RECORDS:
+        _RECORDS[key] = settle(document_records(spark, sf_dir))
+    return _RECORDS[key]
+
+
 def _index(spark, sf_dir):
     """The written index of one data folder, built once per application and then reread."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        _INDEXES[key] = build_index(document_records(spark, sf_dir)).settled()
+        _INDEXES[key] = build_index(stored_records(spark, sf_dir)).settled()
     return _INDEXES[key]
 
 
@@ -44,7 +55,7 @@ def block_records(spark, sf_dir):
 SELECT session, ord, layer, len, CAST(terms AS BIGINT) AS terms, concl FROM stats""",
 )
 def block_lengths(spark, sf_dir):
-    blocks = build_index(document_records(spark, sf_dir)).blocks
+    blocks = build_index(stored_records(spark, sf_dir)).blocks
     return blocks.select(
         "session", "ord", "layer", "len", F.col("terms").cast("bigint").alias("terms"), "concl"
     )
@@ -55,7 +66,7 @@ def block_lengths(spark, sf_dir):
     f"WITH {S.INDEX} SELECT session, ord, layer, token, tf FROM postings",
 )
 def weighted_tf(spark, sf_dir):
-    postings = build_index(document_records(spark, sf_dir)).postings
+    postings = build_index(stored_records(spark, sf_dir)).postings
     return postings.select("session", "ord", "layer", "token", "tf")
 
 
@@ -64,7 +75,7 @@ def weighted_tf(spark, sf_dir):
     f"WITH {S.INDEX} SELECT session, token, df FROM terms",
 )
 def token_df(spark, sf_dir):
-    return build_index(document_records(spark, sf_dir)).terms
+    return build_index(stored_records(spark, sf_dir)).terms
 
 
 @registry.add(

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import Registry
 from palimpsest.catalog import sqlparts as S
-from palimpsest.catalog.search_queries import _index
+from palimpsest.catalog.search_queries import _index, stored_records
 from palimpsest.operators.ordered import top_per_key
 from palimpsest.operators.search import search
 from palimpsest.operators.tiers import decisions, segmented, segments_of, two_tier
 from palimpsest.operators.timepos import rank_by_intent, time_positions
-from palimpsest.sources.tables import document_records, questions
+from palimpsest.sources.tables import questions
 from palimpsest.operators.index import block_stats
 from palimpsest.operators.records import first_occurrences
 
@@ -178,7 +178,7 @@ _POSITIONS = """positions AS MATERIALIZED (
     "SELECT session, ord, round(position, 6) AS position FROM positions",
 )
 def time_position(spark, sf_dir):
-    blocks = block_stats(first_occurrences(document_records(spark, sf_dir)))
+    blocks = block_stats(first_occurrences(stored_records(spark, sf_dir)))
     return time_positions(blocks).select("session", "ord", F.round("position", 6).alias("position"))
 
 
