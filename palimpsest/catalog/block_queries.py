@@ -39,7 +39,7 @@ _WINDOW = 6 * 3600 * 1000
 
 @registry.add(
     "rate_limit",
-    f"""WITH RECURSIVE c AS MATERIALIZED (SELECT user_id AS key, event_id, epoch_ms(ts) AS at_ms,
+    f"""WITH RECURSIVE c AS MATERIALIZED (SELECT user_id AS key, event_id, epoch_us(ts) // 1000 AS at_ms,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 walk AS (
   SELECT key, n, at_ms, TRUE AS allowed, 0::BIGINT AS retry_after_ms, [at_ms] AS stamps FROM c WHERE n = 1

@@ -10,8 +10,9 @@ from palimpsest.functions.titles import strip_line_markup
 from palimpsest.functions.tokens import let, trim_ws
 
 _E = V.SENTENCE_END
-_PIECE = f"[^{_E}\n]*[{_E}]|[^{_E}\n]+"
-_SENTENCE = f"(?s)[^{_E}]*[{_E}]|[^{_E}]+"
+# A run and its optional terminator, or a lone terminator: no backtracking over long open texts.
+_PIECE = f"[^{_E}\n]+[{_E}]?|[{_E}]"
+_SENTENCE = f"[^{_E}]+[{_E}]?|[{_E}]"
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -91,7 +92,7 @@ def query_segments(text: Column, min_chars: int = 6) -> Column:
     neighbour, ``out`` the units already placed.
     """
     clauses = F.flatten(
-        F.transform(split_sentences(text), lambda s: _all(s, "(?s)[^：:、；;]*[：:、；;]|[^：:、；;]+"))
+        F.transform(split_sentences(text), lambda s: _all(s, "[^：:、；;]+[：:、；;]?|[：:、；;]"))
     )
 
     def asks(x: Column) -> Column:
