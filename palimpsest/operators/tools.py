@@ -7,6 +7,7 @@ import posixpath
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions import tokens as K
 from palimpsest.functions.sanitize import sanitize, strip_markers
@@ -40,7 +41,7 @@ def tool_target(name: Column, args: Column) -> Column:
     return F.coalesce(F.array_join(tail, "/"), name, F.lit(""))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _inside(target: pd.Series, cwd: pd.Series, root: pd.Series) -> pd.Series:
     def check(t, base, top):
         if not t or not top:
@@ -96,14 +97,17 @@ def pair_calls(results: DataFrame, calls: DataFrame) -> DataFrame:
 
 def tool_blocks(
     results: DataFrame, calls: DataFrame, key: str, *, names: str = DEFAULT_NAMES,
-    max_chars: int = 4000, budget: int = 120_000,
+    max_chars: int = 4000, budget: int = 120_000, cwd: str = "/", own_root: str = "",
 ) -> DataFrame:
     """Kept tool results as blocks: ``key, seq, name, target, title, text, truncated``.
 
     ``results``: session, key, seq, call_id, is_error, text. ``seq`` is unique within ``key``.
+    Results of reading files inside ``own_root`` are left out.
     """
     limit = max(200, min(20_000, max_chars))
     paired = pair_calls(results, calls)
+    if own_root:
+        paired = paired.where(~reads_own_store(F.col("args"), F.lit(cwd), F.lit(own_root)))
     usable = (
         paired.where(~F.coalesce("is_error", F.lit(False)) & allowed_tool(F.col("name"), names))
         .withColumn("text", K.trim_ws(strip_markers(F.col("text"))))
