@@ -71,7 +71,8 @@ FROM cov c LEFT JOIN hits h USING (query_id, session)""",
 )
 def coverage_verdict(spark, sf_dir):
     ask = asked(spark, sf_dir)
-    dropped = ask.where("query_id % 10 = 4").select("session", F.lit("x vvwk y").alias("text"))
+    lost = F.when(F.col("query_id") % 2 == 0, "x vvwk y").otherwise("nothing kept")
+    dropped = ask.select("session", lost.alias("text"))
     out = D.verdicts(_index(spark, sf_dir), ask, dropped=dropped)
     return out.select("query_id", "session", "total", "present", "best", "verdict")
 

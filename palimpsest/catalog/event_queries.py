@@ -180,7 +180,7 @@ def stride_sample(spark, sf_dir):
 # Pages as tool results: the page id is the call id, its language path the session.
 _CALL_SQL = """calls AS (SELECT page_id // 100 AS session, page_id AS call_id, page_id * 2 AS seq,
   CASE page_id % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'grep' WHEN 2 THEN 'web_fetch' ELSE 'bash' END AS name, url
-  FROM pages WHERE page_id % 13 <> 0),
+  FROM pages WHERE contains(url, '?')),
 results AS (SELECT page_id // 100 AS session, page_id AS call_id, page_id * 2 + 1 AS seq, page_id % 11 = 0 AS is_error, html FROM pages),
 paired AS MATERIALIZED (SELECT r.*, coalesce(c.name, '') AS name,
     coalesce(array_to_string(list_slice(string_split(c.url, '/'), -2, -1), '/'), c.name, '') AS target
@@ -193,7 +193,7 @@ def _tool_tables(spark, sf_dir):
         F.when(F.col("page_id") % 4 == 0, "read").when(F.col("page_id") % 4 == 1, "grep")
         .when(F.col("page_id") % 4 == 2, "web_fetch").otherwise("bash")
     )
-    calls = pages.where("page_id % 13 <> 0").select(
+    calls = pages.where("contains(url, '?')").select(
         "session", F.col("page_id").alias("call_id"), (F.col("page_id") * 2).alias("seq"),
         name.alias("name"), F.to_json(F.struct("url")).alias("args"),
     )

@@ -17,7 +17,7 @@ registry = Registry()
 
 _FP = "substr(sha1(layer || chr(0) || text), 1, 16)"
 _STORE = f"""{S.BLOCKS}, b AS MATERIALIZED (SELECT *, {_FP} AS fp FROM blocks),
-stored AS (SELECT * FROM b WHERE ord % 3 <> 0), fresh AS (SELECT * FROM b WHERE ord % 2 = 0)"""
+stored AS (SELECT * FROM b WHERE ord IN (SELECT doc_id FROM labels)), fresh AS (SELECT * FROM b)"""
 
 
 def _blocks(spark, sf_dir):
@@ -27,11 +27,13 @@ def _blocks(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    return _blocks(spark, sf_dir).where("ord % 3 <> 0")
+    """Blocks a person has labelled count as already stored; all blocks arrive again as fresh."""
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"))
+    return _blocks(spark, sf_dir).join(labelled, "ord", "left_semi")
 
 
 def _fresh(spark, sf_dir):
-    return _blocks(spark, sf_dir).where("ord % 2 = 0")
+    return _blocks(spark, sf_dir)
 
 
 @registry.add(

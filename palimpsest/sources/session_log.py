@@ -123,10 +123,12 @@ def find_log(files: DataFrame, wanted: str) -> DataFrame:
         "_exact", F.col("session") == wanted
     )
     marks = named.agg(
-        F.bool_or("_exact").alias("_any"), F.count_distinct("project", "session").alias("_folders")
-    )
-    fits = (F.col("_exact") & F.col("_any")) | (~F.col("_any") & (F.col("_folders") == 1))
-    chosen = named.join(F.broadcast(marks)).where(fits)  # marks is one row
+        F.bool_or("_exact").alias("any"), F.count_distinct("project", "session").alias("folders")
+    ).first()
+    if marks["any"]:
+        chosen = named.where("_exact")
+    else:
+        chosen = named if marks["folders"] == 1 else named.limit(0)
     order = [F.desc(F.col("path").endswith(".zstd")), F.desc("path")]
     return chosen.orderBy(*order).limit(1).select(*files.columns)
 
