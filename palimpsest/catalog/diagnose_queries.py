@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Registry
@@ -12,7 +13,7 @@ from palimpsest.operators import diagnose as D
 from palimpsest.operators import turns as T
 from palimpsest.operators.ordered import top_per_key
 from palimpsest.operators.rollups import score_bands
-from palimpsest.operators.search import search
+from palimpsest.operators.search import query_terms, search
 from palimpsest.sources.tables import conversation_events, document_blocks, questions
 
 registry = Registry()
@@ -53,8 +54,6 @@ SELECT query_id, session, token FROM qt WHERE NOT EXISTS (SELECT 1 FROM terms t
 )
 def absent_terms(spark, sf_dir):
     """Set difference: the question's tokens that its session does not know."""
-    from palimpsest.operators.search import query_terms
-
     terms = query_terms(asked(spark, sf_dir)).select("query_id", "session", "token")
     return terms.join(_index(spark, sf_dir).terms, ["session", "token"], "left_anti").select(
         "query_id", "session", "token"
@@ -170,8 +169,6 @@ c AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY session ORDER BY p
 SELECT session AS key, ord, place, substr(text, 1, CAST(12000 - before AS BIGINT)) AS text FROM c WHERE before < 12000""",
 )
 def history_last(spark, sf_dir):
-    from pyspark.sql import Window
-
     raw = document_blocks(spark, sf_dir).where("layer = 'raw'").select("session", "ord", "text")
     last = top_per_key(raw, ["session"], [F.desc("ord")], 5, "back")
     w = Window.partitionBy("session").orderBy("ord")
