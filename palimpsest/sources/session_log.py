@@ -93,7 +93,7 @@ def _lines_of(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def log_files(spark: SparkSession, root: str) -> DataFrame:
-    """``session, project, path, bytes, modified, preference`` of every log under ``root``.
+    """``session, project, path, bytes, modified`` of every log under ``root``.
 
     Layout: root/<project>/<session>/session[.vN].jsonl[.zstd]. Contents are not read.
     """
