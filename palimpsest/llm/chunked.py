@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 SPACES = " \t\n\r\x0b\x0c\x85\xa0  -     　"
 CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
@@ -32,6 +34,31 @@ def load_tokenizer(name_or_path: str):
     return Tokenizer.from_file(tokenizer_path(name_or_path))
 
 
+SLICE_CHARS = 2_000_000
+
+
+class Memo(dict):
+    """Lasting entries, and behind them those of the texts at hand."""
+
+    passing: dict = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.passing[chunk]
+
+
+def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``SLICE_CHARS`` characters, at least one text each; bounds the chunks at hand."""
+    some, held = [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t or "")
+        if held >= SLICE_CHARS:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def split_unseen(chunks: set[str], memo: dict) -> tuple[list[str], list[str]]:
     """(chunks for this batch only, chunks that the memo has room for: the shortest, which recur most)."""
     unseen = sorted(chunks.difference(memo), key=len)
@@ -49,7 +76,7 @@ class ChunkIds:
         self.tokenizer = load_tokenizer(name_or_path)
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.dtype = "<u2" if top < 65536 else "<u4"
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
 
     def pack(self, ids: list[int]) -> bytes:
         import numpy as np
@@ -63,11 +90,14 @@ class ChunkIds:
                 memo[chunk] = self.pack(e.ids)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
+        return [ids for some in slices(texts) for ids in self._encode(some, end)]
+
+    def _encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
         cut = [CHUNK.findall(t) if t and UNSURE not in t else None for t in texts]
-        kept, lasting = split_unseen(set().union(*(c for c in cut if c)), self.memo)
-        self._fill(lasting, self.memo)
-        memo = dict(self.memo) if kept else self.memo
-        self._fill(kept, memo)
+        passing, lasting = split_unseen(set().union(*(c for c in cut if c)), self.memo)
+        self._fill(lasting, memo := self.memo)
+        memo.passing = {}
+        self._fill(passing, memo.passing)
         last = b"" if end is None else self.pack([end])
         out = []
         for text, chunks in zip(texts, cut):
@@ -76,3 +106,9 @@ class ChunkIds:
             else:
                 out.append(self.pack(self.tokenizer.encode(text or "", add_special_tokens=False).ids) + last)
         return out
+
+
+@lru_cache(maxsize=2)
+def chunk_ids(name_or_path: str) -> ChunkIds:
+    """The worker's encoder; it outlives a task, so its memo does too."""
+    return ChunkIds(name_or_path)

@@ -19,17 +19,18 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.chunked import CHUNK, SPACES, UNSURE, load_tokenizer, split_unseen, tokenizer_path
+from palimpsest.llm.chunked import CHUNK, SPACES, UNSURE, Memo, load_tokenizer, slices, split_unseen, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 PAIR_ENTRIES = 300_000
-STATE_ENTRIES = 250_000
+STATE_ENTRIES = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -45,6 +46,8 @@ class PrefixCounter:
     def __init__(self, name_or_path: str = TOKENIZER) -> None:
         import re
 
+        import regex
+
         self.tokenizer = load_tokenizer(name_or_path)
         with open(tokenizer_path(name_or_path), encoding="utf-8") as f:
             self.spec = json.load(f)
@@ -55,10 +58,11 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.letters = byte_letters()
         self.special = [t["content"] for t in self.spec.get("added_tokens", [])]
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
         self.apart: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.trie: dict[str, tuple] = {}
+        self.pattern = regex.compile(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.trie: list = ["", 0, 0, None]  # last token, open count, closed count, longer prefixes
         self.kept = 0
         self.beyond = re.compile("<\\||[^\\x00-\xd6\xd8-\xf6\xf8-\xff]")
         self.lead = re.compile(f"[{SPACES}]*")  # becomes one space
@@ -131,20 +135,22 @@ class PrefixCounter:
         Prefix states form a trie; a known beginning is walked, the rest is computed and, for pieces of
         usual length, kept.
         """
-        rows: list[tuple[str, int, int]] = [("", 0, 0)]
+        rows: list = [("", 0, 0)]
         keep = len(word) <= 40
         if self.kept >= STATE_ENTRIES:
-            self.trie, self.kept = {}, 0
-        here: dict | None = self.trie
+            self.trie, self.kept = ["", 0, 0, None], 0
+        here = self.trie
         for i, ch in enumerate(word, 1):
-            node = here.get(ch) if here is not None else None
+            node = here[3].get(ch) if here[3] else None
             if node is None:
-                node = (*self.extend(word, i, rows), {} if keep else None)
-                if here is not None and keep:
-                    here[ch] = node
+                node = [*self.extend(word, i, rows), None]
+                if keep:
+                    if here[3] is None:
+                        here[3] = {}
+                    here[3][ch] = node
                     self.kept += 1
             rows.append(node)
-            here = node[3]
+            here = node
         return [r[2] for r in rows[1:]]
 
     def piece(self, text: str) -> list[int]:
@@ -166,6 +172,13 @@ class PrefixCounter:
             if tail:
                 counts += [counts[-1] + n for n in self.piece(tail)]
             return counts
+        if not self.beyond.search(chunk):
+            # one code point stays one code point, in composed form
+            counts, done = [0] * len(chunk), 0
+            for piece, (lo, hi) in self._pieces(chunk.lower()):
+                counts[lo:hi] = [done + n for n in self.piece(piece)]
+                done = counts[hi - 1]
+            return counts
         plain = unicodedata.is_normalized("NFC", chunk) and not any(s in chunk for s in self.special)
         if not plain:
             some = [chunk[: i + 1] for i in range(len(chunk))]
@@ -185,12 +198,9 @@ class PrefixCounter:
             at[hi + 1 :] = done
         return at[np.cumsum(sizes)].tolist()
 
-    def _pieces(self, norm: str):
-        """The pieces of a normalized chunk with their places."""
-        import regex
-
-        pattern = self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        return ((m.group(), m.span()) for m in regex.finditer(pattern, norm))
+    def _pieces(self, norm: str) -> Iterator[tuple[str, tuple[int, int]]]:
+        """The pieces of a normalized chunk with their places; white space belongs to none."""
+        return ((m.group(), m.span()) for m in self.pattern.finditer(norm))
 
     def plain(self, text: str) -> str:
         """Fewer distinct chunks: lower case and spaces for line ends, where that keeps every count."""
@@ -207,16 +217,25 @@ class PrefixCounter:
 
     def steps(self, texts: list[str | None]) -> list[bytes]:
         """For each text one signed byte per code point: the change of the token count."""
+        return [stored for some in slices(texts) for stored in self._steps(some)]
+
+    def _steps(self, texts: list[str | None]) -> list[bytes]:
         cut = [CHUNK.findall(self.plain(t)) if t and UNSURE not in t else [t] if t else [] for t in texts]
-        kept, lasting = split_unseen(set().union(*cut), self.memo)
+        passing, lasting = split_unseen(set().union(*cut), memo := self.memo)
         for chunk in lasting:
-            self._remember(chunk, self.memo)
-        memo = self.memo if not kept else dict(self.memo)
-        for chunk in kept:
             self._remember(chunk, memo)
+        memo.passing = {}
+        for chunk in passing:
+            self._remember(chunk, memo.passing)
         return [b"".join(map(memo.__getitem__, chunks)) for chunks in cut]
 
 
+@lru_cache(maxsize=2)
+def counter(name_or_path: str) -> PrefixCounter:
+    """The worker's counter; it outlives a task, so its memo does too."""
+    return PrefixCounter(name_or_path)
+
+
 def tokens_before(steps: bytes, end: int | None = None) -> int:
     """Tokens of the prefix of ``end`` code points (all without one)."""
     return int(np.frombuffer(steps, np.int8, count=-1 if end is None else min(end, len(steps))).sum(dtype=np.int64))
@@ -234,9 +253,8 @@ def prefix_counts(text: Column, tokenizer: str = TOKENIZER) -> Column:
 
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = PrefixCounter(tokenizer)
         for texts in batches:
-            yield pd.Series(counter.steps(texts.tolist()), dtype=object)
+            yield pd.Series(counter(tokenizer).steps(texts.tolist()), dtype=object)
 
     return of(text)
 

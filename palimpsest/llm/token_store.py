@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.chunked import ChunkIds
+from palimpsest.llm.chunked import chunk_ids
 from palimpsest.llm.common import order_bounds, order_part, order_parts, scratch_path, shuffle_width
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,15 +51,14 @@ def token_ids(text: Column, tokenizer: str, end: int) -> Column:
 
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = ChunkIds(tokenizer)
         for texts in batches:
-            yield pd.Series(encoder.encode(texts.tolist(), end), dtype=object)
+            yield pd.Series(chunk_ids(tokenizer).encode(texts.tolist(), end), dtype=object)
 
     return of(text)
 
 
 def id_width(tokenizer: str) -> int:
-    return np.dtype(ChunkIds(tokenizer).dtype).itemsize
+    return np.dtype(chunk_ids(tokenizer).dtype).itemsize
 
 
 def write_shards(
