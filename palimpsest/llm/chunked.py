@@ -34,7 +34,7 @@ def load_tokenizer(name_or_path: str):
     return Tokenizer.from_file(tokenizer_path(name_or_path))
 
 
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 5_000_000
 
 
 class Memo(dict):

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ from palimpsest.llm.chunked import CHUNK, SPACES, UNSURE, Memo, load_tokenizer,
 
 TOKENIZER = "word_bpe_49k.json"
 PAIR_ENTRIES = 300_000
-STATE_ENTRIES = 400_000
+STATE_ENTRIES = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -62,8 +62,8 @@ class PrefixCounter:
         self.apart: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.pattern = regex.compile(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.trie: list = ["", 0, 0, None]  # last token, open count, closed count, longer prefixes
-        self.kept = 0
+        # prefix -> (last token, open count, closed count, closed counts of all its prefixes)
+        self.states: dict[str, tuple[str, int, int, bytes]] = {}
         self.beyond = re.compile("<\\||[^\\x00-\xd6\xd8-\xf6\xf8-\xff]")
         self.lead = re.compile(f"[{SPACES}]*")  # becomes one space
         # a run of Latin letters with marks behind it: two pieces, whatever stands around them
@@ -109,51 +109,61 @@ class PrefixCounter:
             known = self.apart[pair] = self.merge([*self.symbols(left), *self.symbols(right)]) == [left, right]
         return known
 
-    def extend(self, word: str, i: int, rows: list[tuple[str, int, int]]) -> tuple[str, int, int]:
-        """(last token of the open prefix, its count, count of the prefix as a finished word)."""
+    def extend(self, word: str, i: int, state: Callable[[int], tuple]) -> tuple[str, int, int]:
+        """(last token of the open prefix, its count, count of the prefix as a finished word).
+
+        ``state`` gives what earlier prefixes of the word have.
+        """
         last, opened, closed = "", 0, 0
+        vocab = self.vocab
         for size in range(1, min(i, self.longest) + 1):
             token = word[i - size : i]
-            before = rows[i - size]
-            if not opened and token in self.vocab and (
-                self.stands(token) if size == i else before[1] and self.stay_apart(before[0], token)
-            ):
-                last, opened = token, before[1] + 1
-            if not closed:
-                token += self.suffix
-                if token in self.vocab and (
-                    self.stands(token) if size == i else before[1] and self.stay_apart(before[0], token)
-                ):
-                    closed = before[1] + 1
-            if opened and closed:
+            end = token + self.suffix
+            open_ = not opened and token in vocab
+            close = not closed and end in vocab
+            if not (open_ or close):
+                continue
+            if size == i:
+                if open_ and self.stands(token):
+                    last, opened = token, 1
+                if close and self.stands(end):
+                    closed = 1
                 break
+            before = state(i - size)
+            if before[1]:
+                if open_ and self.stay_apart(before[0], token):
+                    last, opened = token, before[1] + 1
+                if close and self.stay_apart(before[0], end):
+                    closed = before[1] + 1
+                if opened and closed:
+                    break
         return last, opened, closed
 
-    def word_counts(self, word: str) -> list[int]:
+    def word_counts(self, word: str) -> Sequence[int]:
         """Counts of all prefixes of one piece, given in the vocabulary's byte letters.
 
-        Prefix states form a trie; a known beginning is walked, the rest is computed and, for pieces of
-        usual length, kept.
+        Pieces of usual length keep the state of each prefix, with the counts so far, for words that begin
+        alike; the computation starts at the longest known prefix.
         """
-        rows: list = [("", 0, 0)]
-        keep = len(word) <= 40
-        if self.kept >= STATE_ENTRIES:
-            self.trie, self.kept = ["", 0, 0, None], 0
-        here = self.trie
-        for i, ch in enumerate(word, 1):
-            node = here[3].get(ch) if here[3] else None
-            if node is None:
-                node = [*self.extend(word, i, rows), None]
-                if keep:
-                    if here[3] is None:
-                        here[3] = {}
-                    here[3][ch] = node
-                    self.kept += 1
-            rows.append(node)
-            here = node
-        return [r[2] for r in rows[1:]]
-
-    def piece(self, text: str) -> list[int]:
+        if len(word) > 40:
+            rows: list[tuple[str, int, int]] = [("", 0, 0)]
+            for i in range(1, len(word) + 1):
+                rows.append(self.extend(word, i, rows.__getitem__))
+            return [r[2] for r in rows[1:]]
+        states = self.states
+        if len(states) >= STATE_ENTRIES:
+            states.clear()
+        i = len(word)
+        while i and word[:i] not in states:
+            i -= 1
+        counts = states[word[:i]][3] if i else b""
+        for k in range(i + 1, len(word) + 1):
+            last, opened, closed = self.extend(word, k, lambda j: states[word[:j]])
+            counts += bytes((closed,))
+            states[word[:k]] = last, opened, closed, counts
+        return counts
+
+    def piece(self, text: str) -> Sequence[int]:
         """Counts at each code point of one normalized piece."""
         if text.isascii():
             return self.word_counts("".join([self.letters[b] for b in text.encode()]) if not text.isprintable() else text)
@@ -168,7 +178,7 @@ class PrefixCounter:
         """Counts of all prefixes of one chunk, one per code point."""
         if m := self.simple.fullmatch(chunk):
             space, core, tail = m.groups()
-            counts = [0] * len(space) + self.piece(core.lower())
+            counts = [0] * len(space) + list(self.piece(core.lower()))
             if tail:
                 counts += [counts[-1] + n for n in self.piece(tail)]
             return counts
@@ -193,7 +203,7 @@ class PrefixCounter:
         done = 0
         for piece, (lo, hi) in self._pieces(norm):
             counts = self.piece(piece)
-            at[lo + 1 : hi + 1] = done + np.array(counts)
+            at[lo + 1 : hi + 1] = done + np.array(list(counts))
             done += counts[-1]
             at[hi + 1 :] = done
         return at[np.cumsum(sizes)].tolist()
