@@ -406,7 +406,8 @@ def near_duplicates(
     on = F.col("k.first_doc").eqNullSafe(F.col("t.first_doc"))
 
     def members(part: DataFrame) -> DataFrame:
-        return part.alias("k").join(texts.alias("t"), on).select("k.comp", "k.cid", "k.n_shingles", "k.digest", "t.text")
+        # candidates have no proven bound, so their side is shuffled, never sent to every task
+        return part.hint("shuffle_hash").alias("k").join(texts.alias("t"), on).select("k.comp", "k.cid", "k.n_shingles", "k.digest", "t.text")
 
     roots = small_groups(members(small))
     if has_large:
