@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.chunked import CHUNK, SPACES, UNSURE, Memo, load_tokenizer, slices, split_unseen, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
-PAIR_ENTRIES = 300_000
-STATE_ENTRIES = 300_000
+PAIR_ENTRIES = 150_000
+STATE_ENTRIES = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -50,18 +50,18 @@ class PrefixCounter:
 
         self.tokenizer = load_tokenizer(name_or_path)
         with open(tokenizer_path(name_or_path), encoding="utf-8") as f:
-            self.spec = json.load(f)
-        model = self.spec["model"]
+            spec = json.load(f)
+        model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab = set(model["vocab"])
         self.rank = {tuple(m): i for i, m in enumerate(model["merges"])}
         self.longest = max(map(len, self.vocab))
         self.letters = byte_letters()
-        self.special = [t["content"] for t in self.spec.get("added_tokens", [])]
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.memo = Memo()
         self.apart: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.pattern = regex.compile(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         # prefix -> (last token, open count, closed count, closed counts of all its prefixes)
         self.states: dict[str, tuple[str, int, int, bytes]] = {}
         self.beyond = re.compile("<\\||[^\\x00-\xd6\xd8-\xf6\xf8-\xff]")
