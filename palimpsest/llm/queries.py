@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import html_text
+from palimpsest.llm import archives, chat, decontaminate, fingerprints, html_text, mixing, toxicity
 from palimpsest.llm import near_dup
 from palimpsest.llm import token_counts as counts
 from palimpsest.llm import token_store as store
@@ -21,10 +21,39 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(docs, limit=LIMIT)
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = decontaminate.item_parts(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return decontaminate.leaks(docs, items)
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return archives.archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+#: A conversation whose texts hold control strings and escapes of chat templates.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], turns.schema)
+    return chat.formatted_conversations(turns.union(odd))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -34,6 +63,12 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.stored_documents(docs)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = toxicity.label_categories(table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, labels, toxicity.CATEGORIES, "toxic").drop("text")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
