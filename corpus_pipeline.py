@@ -3,17 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import token_store
+from palimpsest.llm import decontaminate, mixing, near_dup, token_store, toxicity
 from palimpsest.llm.common import table, written
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone``; rows without a number stay."""
+    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    labels = toxicity.label_categories(table(spark, sf_dir, "labels"))
+    rows = docs.withColumn("_text", F.col("text"))
+    scored = toxicity.scored(rows, labels, toxicity.CATEGORIES, "toxic", text="_text")
+    return scored.where(~F.col("rejected")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    found = near_dup.near_duplicates(docs.select("doc_id", "text"))
+    return _without(docs, found.where(~F.col("kept")))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = decontaminate.item_parts(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return _without(docs, decontaminate.leaks(docs.select("doc_id", "text"), items))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the documents as token ids and return what the store gives back."""
     return token_store.stored_documents(docs.select("doc_id", "text"))
 
 
-STAGES = [("token ids", token_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("source mix", mixing_stage),
+    ("token ids", token_stage),
+]
 
 #: No single SQL statement expresses the stages; tests hold them against brute force.
 ORACLE_SQL = None
