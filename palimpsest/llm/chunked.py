@@ -21,7 +21,7 @@ CHUNK = re.compile(
     f" ?[{LATIN}]++(?=[.,;:!? \n]|\\Z)|[.,;:!?]++(?=[ \n]|\\Z)|\n(?=[^{SPACES}])|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+"
 )
 UNSURE = "᠎"
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 200_000
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -39,7 +39,7 @@ def load_tokenizer(name_or_path: str):
     return Tokenizer.from_file(tokenizer_path(name_or_path))
 
 
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 3_000_000
 
 
 class Memo(dict):

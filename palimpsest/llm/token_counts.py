@@ -23,14 +23,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from palimpsest.llm.chunked import CHUNK, SPACES, UNSURE, Memo, load_tokenizer, slices, split_unseen, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
-PAIR_ENTRIES = 150_000
-STATE_ENTRIES = 200_000
+PAIR_ENTRIES = 200_000
+STATE_ENTRIES = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -285,12 +287,24 @@ def answers(steps: Column, limit: int) -> Column:
 def token_counts(docs: DataFrame, limit: int, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` without its text, with n_bytes, n_tokens, over_limit and cut_chars.
 
-    Rows are independent: repeated rows give repeated results, other columns pass through, a column named
-    like a result is replaced.
+    Rows are independent: repeated rows give repeated results, other columns pass through untouched, a column
+    named like a result is replaced. The stored arrays live for a slice of texts only.
     """
-    keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit", "cut_chars", "_answer")]
-    return docs.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"),
-        answers(prefix_counts(F.col(text), tokenizer), limit).alias("_answer"),
-    ).select(*[f"`{c}`" for c in keep], "n_bytes", "_answer.*")
+    results = ["n_bytes", "n_tokens", "over_limit", "cut_chars"]
+    keep = [c for c in docs.columns if c not in (text, *results)]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            n, cut = [], []
+            for some in slices(texts):
+                for steps in counter(tokenizer).steps(some):
+                    n.append(tokens_before(steps))
+                    cut.append(len(steps) if n[-1] <= limit else longest_prefix(steps, limit))
+            size = [len(t.encode()) if t else 0 for t in texts]
+            made = [pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(cut, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], names=[*batch.schema.names[: len(keep)], *results])
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("_text"))
+    schema = StructType([*[docs.schema[c] for c in keep], *[StructField(c, BooleanType() if c == "over_limit" else LongType()) for c in results]])
+    return rows.mapInArrow(of, schema)
