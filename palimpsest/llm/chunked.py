@@ -13,6 +13,8 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+
 SPACES = " \t\n\r\x0b\x0c\x85\xa0  -     　"
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Words and marks between plain white space, and a lone line end, stand apart in both vocabularies; what is
@@ -22,6 +24,8 @@ CHUNK = re.compile(
 )
 UNSURE = "᠎"
 MEMO_ENTRIES = 200_000
+ID_ENTRIES = 350_000
+RUN = 500
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -64,10 +68,13 @@ def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield some
 
 
-def split_unseen(chunks: set[str], memo: dict) -> tuple[list[str], list[str]]:
-    """(chunks for this batch only, chunks that the memo has room for: the shortest, which recur most)."""
-    unseen = sorted(chunks.difference(memo), key=len)
-    room = max(0, MEMO_ENTRIES - len(memo))
+def split_unseen(chunks: set[str], memo: Memo, entries: int = MEMO_ENTRIES) -> tuple[list[str], list[str]]:
+    """(chunks for this slice only, chunks that the memo has room for: the shortest, which recur most)."""
+    unseen = list(chunks.difference(memo))
+    room = max(0, entries - len(memo))
+    if not room:
+        return unseen, []
+    unseen.sort(key=len)
     return unseen[room:], unseen[:room]
 
 
@@ -81,25 +88,38 @@ class ChunkIds:
         self.tokenizer = load_tokenizer(name_or_path)
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.dtype = "<u2" if top < 65536 else "<u4"
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content[:1] == "<"]
+        self.mark = special[0] if special else None
         self.memo = Memo()
 
     def pack(self, ids: list[int]) -> bytes:
-        import numpy as np
-
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def _fill(self, chunks: list[str], memo: dict[str, bytes]) -> None:
-        for lo in range(0, len(chunks), 4096):
-            some = chunks[lo : lo + 4096]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo[chunk] = self.pack(e.ids)
+        """Encode chunks many at a time: a special token between two keeps them apart and marks the cut."""
+        if self.mark is None:
+            plain = []
+        else:
+            plain = [c for c in chunks if "<" not in c]
+            chunks = [c for c in chunks if "<" in c]
+        size = np.dtype(self.dtype).itemsize
+        runs = [plain[lo : lo + RUN] for lo in range(0, len(plain), RUN)]
+        texts = [self.mark[0].join(run) for run in runs]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            raw, low = ids.tobytes(), 0
+            for chunk, high in zip(run, [*(np.flatnonzero(ids == self.mark[1]) * size).tolist(), len(raw)]):
+                memo[chunk] = raw[low:high]
+                low = high + size
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
+            memo[chunk] = self.pack(e.ids)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         return [ids for some in slices(texts) for ids in self._encode(some, end)]
 
     def _encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
         cut = [CHUNK.findall(t) if t and UNSURE not in t else None for t in texts]
-        passing, lasting = split_unseen(set().union(*(c for c in cut if c)), self.memo)
+        passing, lasting = split_unseen(set().union(*(c for c in cut if c)), self.memo, ID_ENTRIES)
         self._fill(lasting, memo := self.memo)
         memo.passing = {}
         self._fill(passing, memo.passing)
