@@ -43,7 +43,7 @@ APART = frozenset(
     "cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription "
     "sidebar sidebars aside rail widget widgets related recommended recommendations menu menus nav navbar "
     "navigation breadcrumb breadcrumbs masthead footer footers copyright share sharing social comment comments "
-    "commentlist disqus replies respond form login signup search pagination pager toolbar".split()
+    "commentlist discussion responses disqus replies reply respond side form login signup search pagination pager toolbar".split()
 )
 #: Words of page headers, cut off only outside the article itself.
 HEADERS = frozenset("header headers topbar".split())

@@ -108,7 +108,7 @@ def test_minimal_perfect_hash():
 PAGE = (
     "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body>"
     "<nav><ul><li><a href='/a'>menu</a></li></ul></nav><header>site</header><!-- x --><div class='ad'>buy</div>"
-    "{}<aside>side</aside><div class='cookie-notice'>ok?</div><form>f<input></form>"
+    "@<aside>side</aside><div class='cookie-notice'>ok?</div><form>f<input></form>"
     "<section id='comments'><p>reader said a very long thing here, longer than it should be</p></section><footer>&copy; f</footer>"
 )
 
@@ -121,7 +121,7 @@ PAGE = (
     ("<article></article>", ""),
 ])
 def test_main_text(body, text):
-    assert html_text.extract(PAGE.format(body).replace("{}", "")) == text if "{}" not in body else True
+    assert html_text.extract(PAGE.replace("@", body)) == text
 
 
 def test_main_text_rows(spark):
