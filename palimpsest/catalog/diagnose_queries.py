@@ -14,20 +14,17 @@ from palimpsest.operators import turns as T
 from palimpsest.operators.ordered import top_per_key
 from palimpsest.operators.rollups import score_bands
 from palimpsest.operators.search import query_terms, search
-from palimpsest.sources.tables import conversation_events, document_blocks, questions
+from palimpsest.sources.tables import conversation_events, document_blocks, questions, table
 
 registry = Registry()
 
 # Every question is asked in one session, chosen by its id.
 _ASKED = """asked AS (SELECT item_id AS query_id, 0 AS segment, 'src' || (item_id % 20) AS session,
-  CASE WHEN item_id % 5 = 4 THEN 'zzqx vvwk' ELSE text END AS text FROM benchmark)"""
+  text FROM benchmark)"""
 
 
 def asked(spark, sf_dir):
-    return questions(spark, sf_dir).select(
-        "query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("session"),
-        F.when(F.col("query_id") % 5 == 4, "zzqx vvwk").otherwise(F.col("text")).alias("text"),
-    )
+    return questions(spark, sf_dir).select("query_id", "session", "text")
 
 
 _COVER = f"""qt AS MATERIALIZED (SELECT query_id, session, unnest(list_distinct({S.tokens('text')})) AS token FROM asked),
@@ -39,7 +36,7 @@ cov AS MATERIALIZED (SELECT a.query_id, a.session, count(q.token) AS total, coun
 
 @registry.add(
     "token_coverage",
-    f"WITH {S.INDEX}, {_ASKED}, {_COVER} SELECT query_id, session, total, present, least(missing, 20) AS absent FROM cov",
+    f"WITH {S.INDEX}, {_ASKED}, {_COVER} SELECT query_id, session, total, present, missing AS absent FROM cov",
 )
 def token_coverage(spark, sf_dir):
     return D.coverage(_index(spark, sf_dir), asked(spark, sf_dir)).withColumn(
@@ -62,16 +59,18 @@ def absent_terms(spark, sf_dir):
 
 @registry.add(
     "coverage_verdict",
-    f"""WITH {S.INDEX}, {_ASKED}, {_COVER}, {S.search_ctes('asked', by_layer=False, limit=1, in_session=True)}
+    f"""WITH {S.INDEX}, {_ASKED}, {_COVER}, {S.search_ctes('asked', by_layer=False, limit=1)},
+lost AS MATERIALIZED (SELECT DISTINCT 'src' || (conv_id % 20) AS session, unnest({S.tokens('text')}) AS token FROM conversations)
 SELECT c.query_id, c.session, c.total, c.present, floor(coalesce(h.score, 0) * 10000 + 0.5) / 10000 AS best,
-  CASE WHEN c.present = 0 AND c.query_id % 2 = 0 THEN 'not-ingested' WHEN c.present = 0 THEN 'absent'
+  CASE WHEN c.present = 0 AND EXISTS (SELECT 1 FROM qt q JOIN lost l USING (session, token)
+      WHERE q.query_id = c.query_id AND q.session = c.session) THEN 'not-ingested' WHEN c.present = 0 THEN 'absent'
     WHEN floor(coalesce(h.score, 0) * 10000 + 0.5) / 10000 < 0.28 THEN 'scattered' ELSE 'above-threshold' END AS verdict
 FROM cov c LEFT JOIN hits h USING (query_id, session)""",
 )
 def coverage_verdict(spark, sf_dir):
     ask = asked(spark, sf_dir)
-    lost = F.when(F.col("query_id") % 2 == 0, "x vvwk y").otherwise("nothing kept")
-    dropped = ask.select("session", lost.alias("text"))
+    session = F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))
+    dropped = table(spark, sf_dir, "conversations").select(session.alias("session"), "text")
     out = D.verdicts(_index(spark, sf_dir), ask, dropped=dropped)
     return out.select("query_id", "session", "total", "present", "best", "verdict")
 

@@ -237,7 +237,7 @@ FROM items i JOIN walk w USING (session, n) WHERE w.kept""",
 )
 def tool_blocks(spark, sf_dir):
     results, calls = _tool_tables(spark, sf_dir)
-    return tools.tool_blocks(results, calls, "compaction", budget=20_000).select(
+    return tools.tool_blocks(results, calls, "compaction", max_chars=4000, budget=20_000).select(
         "session", "seq", "name", "target", "title", "text", "truncated"
     )
 

@@ -202,7 +202,7 @@ corpus AS MATERIALIZED (
 
 
 def search_ctes(queries: str, *, by_layer: bool, limit: int, top: int = V.DENOMINATOR_TOP,
-                in_session: bool = False, out: str = "hits") -> str:
+                in_session: bool = True, out: str = "hits") -> str:
     """CTEs ``{out}`` over ``queries`` (query_id, segment, text[, session])."""
     sess = ", session" if in_session else ""
     on = "USING (session, token)" if in_session else "USING (token)"
@@ -243,7 +243,7 @@ def search_ctes(queries: str, *, by_layer: bool, limit: int, top: int = V.DENOMI
   FROM {out}_scored QUALIFY rank <= {limit})"""
 
 
-QUESTIONS = "questions AS (SELECT item_id AS query_id, 0 AS segment, text FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS query_id, 0 AS segment, 'src' || (item_id % 20) AS session, text FROM benchmark)"
 
 
 def sentences(x: str) -> str:

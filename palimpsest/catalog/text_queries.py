@@ -14,14 +14,13 @@ from palimpsest.functions import timewords as W
 from palimpsest.functions import titles as T
 from palimpsest.functions import tokens as K
 from palimpsest.operators.records import keywords_by_id
-from palimpsest.session import spread
 from palimpsest.sources.tables import table
 
 registry = Registry()
 
 
 def _docs(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _digest(col):
@@ -298,14 +297,14 @@ def line_predicates(spark, sf_dir):
 
 @registry.add(
     "concentration",
-    """WITH src AS (SELECT item_id, text, list_concat(list_slice(string_split(text, ' '), 2, 5), ['zzz', right(text, 8)]) AS ts FROM benchmark),
+    """WITH src AS (SELECT item_id, text, list_concat(list_filter(string_split(text, ' '), lambda t: trim(t) <> ''), ['zzz', right(text, 8)]) AS ts FROM benchmark),
 pos AS MATERIALIZED (SELECT item_id, text, list_sort(list_filter(list_transform(ts, lambda t: instr(text, trim(t)) - 1), lambda p: p >= 0)) AS ps, len(ts) AS nt FROM src)
 SELECT item_id, len(ps) AS hits, nt - len(ps) AS missing, ps[1] AS first, ps[len(ps)] AS last,
   ps[len(ps)] - ps[1] AS span, round((ps[len(ps)] - ps[1]) / length(text), 4) AS span_ratio,
   len(list_filter(ps, lambda p, i: i > 1 AND p - ps[i - 1] > 20)) + 1 AS clusters FROM pos""",
 )
 def concentration(spark, sf_dir):
-    terms = F.expr("concat(slice(split(text, ' '), 2, 4), array('zzz', right(text, 8)))")
+    terms = F.expr("concat(filter(split(text, ' '), t -> trim(t) <> ''), array('zzz', right(text, 8)))")
     out = table(spark, sf_dir, "benchmark").select(
         "item_id", P.concentration(F.col("text"), terms, gap=20).alias("c")
     )
@@ -359,13 +358,13 @@ def loose_json(spark, sf_dir):
 
 @registry.add(
     "rewrite_parse",
-    """WITH w AS (SELECT item_id, list_slice(string_split_regex(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' +'), 1, 14) AS ws FROM benchmark),
+    """WITH w AS (SELECT item_id, string_split_regex(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' +') AS ws FROM benchmark),
 t AS (SELECT item_id, list_slice(list_filter(list_transform(ws, lambda x: substr(x, 1, 24)), lambda x: x <> ''), 1, 12) AS ts FROM w)
 SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'topic' ELSE '' END AS point, array_to_string(ts, ' ') AS terms,
   CASE WHEN item_id % 2 = 0 THEN 'recent' ELSE 'none' END AS intent FROM t""",
 )
 def rewrite_parse(spark, sf_dir):
-    words = F.expr("slice(split(regexp_replace(text, '[^A-Za-z ]', ' '), ' +'), 1, 14)")
+    words = F.expr("split(regexp_replace(text, '[^A-Za-z ]', ' '), ' +')")
     listed = F.to_json(words)
     raw = F.when(
         F.col("item_id") % 2 == 0,
@@ -378,13 +377,13 @@ def rewrite_parse(spark, sf_dir):
 
 @registry.add(
     "keyword_merge",
-    """WITH w AS (SELECT item_id, list_slice(string_split(text, ' '), 1, 8) AS a, list_slice(string_split(text, ' '), 5, 14) AS b FROM benchmark),
+    """WITH w AS (SELECT item_id, string_split(text, ' ') AS a, string_split(lower(text), ' ') AS b FROM benchmark),
 m AS (SELECT item_id, list_filter(list_concat(a, b), lambda x: x <> '') AS ws FROM w)
 SELECT item_id, array_to_string(list_slice(list_filter(ws, lambda x, i: list_position(ws, x) = i), 1, 10), ' ') AS merged FROM m""",
 )
 def keyword_merge(spark, sf_dir):
     merged = P.merged_keywords(
-        F.expr("slice(split(text, ' '), 1, 8)"), F.expr("slice(split(text, ' '), 5, 10)")
+        F.expr("split(text, ' ')"), F.expr("split(lower(text), ' ')")
     )
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(merged, " ").alias("merged"))
 

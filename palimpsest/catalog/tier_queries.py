@@ -19,7 +19,7 @@ registry = Registry()
 
 # Questions that mention a time: the item id chooses the phrase, the text stays whole.
 _TIMED = """timed AS (
-  SELECT item_id AS query_id, 0 AS segment, CASE item_id % 4 WHEN 0 THEN 'earliest ' WHEN 1 THEN 'just now '
+  SELECT item_id AS query_id, 0 AS segment, 'src' || (item_id % 20) AS session, CASE item_id % 4 WHEN 0 THEN 'earliest ' WHEN 1 THEN 'just now '
     WHEN 2 THEN 'before ' ELSE '' END || text AS text FROM benchmark)"""
 
 
@@ -34,7 +34,8 @@ def timed_questions(spark, sf_dir):
 
 
 # Questions with several clauses: sentence stops become semicolons.
-_CLAUSES = """clauses_q AS (SELECT item_id AS query_id, replace(text, '. ', '; ') AS text FROM benchmark)"""
+_CLAUSES = """clauses_q AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS session,
+  replace(text, '. ', '; ') AS text FROM benchmark)"""
 
 
 def clause_questions(spark, sf_dir):
@@ -54,14 +55,14 @@ def _segment_ctes(source: str) -> str:
         f"CASE WHEN length({merged}) < 6 THEN '' ELSE '\u0002' END)"
     )
     return f"""
-{source}_cs AS MATERIALIZED (SELECT query_id, text, {pieces} AS cs FROM {source}),
-{source}_fold AS MATERIALIZED (SELECT query_id, text, cs, {fold} AS f FROM {source}_cs),
+{source}_cs AS MATERIALIZED (SELECT query_id, session, text, {pieces} AS cs FROM {source}),
+{source}_fold AS MATERIALIZED (SELECT query_id, session, text, cs, {fold} AS f FROM {source}_cs),
 {source}_units AS (
-  SELECT query_id, CASE WHEN len(cs) <= 1 THEN [{S.trim('text')}]
+  SELECT query_id, session, CASE WHEN len(cs) <= 1 THEN [{S.trim('text')}]
     ELSE list_filter(string_split(regexp_replace(f, '\u0002([^\u0002]+)$', ' \\1'), '\u0002'), lambda u: {S.trim('u')} <> '') END AS us
   FROM {source}_fold),
 segments AS MATERIALIZED (
-  SELECT query_id, unnest(range(len(us))) AS segment, unnest(us) AS text FROM {source}_units)"""
+  SELECT query_id, session, unnest(range(len(us))) AS segment, unnest(us) AS text FROM {source}_units)"""
 
 
 def _decide_sql(extra_shape: str = "NULL::VARCHAR", pos: bool = False) -> str:
@@ -147,8 +148,8 @@ def tier_decision(spark, sf_dir):
     "SELECT query_id, CAST(segment AS BIGINT) AS segment, text FROM segments",
 )
 def segment_query(spark, sf_dir):
-    return segments_of(clause_questions(spark, sf_dir)).withColumn(
-        "segment", F.col("segment").cast("bigint")
+    return segments_of(clause_questions(spark, sf_dir)).select(
+        "query_id", F.col("segment").cast("bigint").alias("segment"), "text"
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import tokens as K
@@ -14,10 +14,12 @@ from palimpsest.operators.search import search
 
 ASK = ["query_id", "session"]
 STRONG_RATIO = 1.5
+SHOWN_TERMS = 20
 
 
 def coverage(index: BlockIndex, questions: DataFrame) -> DataFrame:
-    """Known and unknown tokens per question, each asked in its own session."""
+    """Known and unknown tokens per question, each asked in its own session. ``absent`` is the whole list, in
+    the question's order; ``shown_terms`` cuts it for display."""
     tokens = questions.select(*ASK, F.posexplode(K.token_set(F.col("text")))).select(
         *ASK, F.col("pos"), F.col("col").alias("token")
     )
@@ -30,7 +32,7 @@ def coverage(index: BlockIndex, questions: DataFrame) -> DataFrame:
     )
     counted = known.groupBy(*ASK).agg(
         F.count("*").alias("total"), F.count("_known").alias("present"),
-        F.transform(F.slice(missing, 1, 20), lambda m: m["token"]).alias("absent"),
+        F.transform(missing, lambda m: m["token"]).alias("absent"),
     )
     return questions.select(*ASK).join(counted, ASK, "left").select(
         *ASK, F.coalesce("total", F.lit(0)).alias("total"),
@@ -39,6 +41,11 @@ def coverage(index: BlockIndex, questions: DataFrame) -> DataFrame:
     )
 
 
+def shown_terms(absent: Column, limit: int = SHOWN_TERMS) -> Column:
+    """The absent words that a report shows."""
+    return F.slice(absent, 1, limit)
+
+
 def verdicts(
     index: BlockIndex, questions: DataFrame, *, min_score: float = 0.28,
     dropped: DataFrame | None = None,
@@ -109,6 +116,24 @@ def candidate_pool(hits: DataFrame) -> DataFrame:
     return usable.withColumn("place", F.row_number().over(w))
 
 
+def fallback_candidates(hits: DataFrame, top: int = 3) -> DataFrame:
+    """What is offered when no page was picked: the first conversation blocks with different texts."""
+    first = Window.partitionBy(*ASK, "fp").orderBy("rank")
+    distinct = candidate_pool(hits).withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy", "place")
+    return top_per_key(distinct, ASK, [F.asc("rank")], top, "place")
+
+
+def merged_candidates(hits: DataFrame, more: DataFrame, limit: int = 12) -> DataFrame:
+    """A question's hits and those of its rewrite that have other fingerprints, sorted again."""
+    cols = [*ASK, "ord", "layer", "fp", "at", "score"]
+    fresh = more.select(*cols).join(hits.select(*ASK, "fp").distinct(), [*ASK, "fp"], "left_anti")
+    both = hits.select(*cols, F.lit(False).alias("rewritten")).unionByName(
+        fresh.select(*cols, F.lit(True).alias("rewritten"))
+    )
+    order = [F.desc("score"), F.desc(F.coalesce("at", F.lit(""))), F.asc("ord")]
+    return top_per_key(both, ASK, order, limit, "place")
+
+
 def pages(
     pool: DataFrame, *, page_size: int = 30, max_chars: int = 4000, snippet_chars: int = 60
 ) -> DataFrame:

@@ -22,8 +22,7 @@ from palimpsest.session import settle
 SLICE = 2048
 GROUP = 2048
 PIECE_GAP = 2
-SHORTEST_PIECE = 3
-PART_ROOM = 1 << 20  # parts per chunk in the order column; a chunk of 2^20 parts has 1.5 billion characters
+PART_ROOM = 1 << 21  # parts per chunk in the order column; a string of 2^31 characters has fewer
 
 
 def _next_starts(sizes: np.ndarray, count: int, target: int) -> np.ndarray:
@@ -46,7 +45,7 @@ def _exit_map(target: int):
             reach = np.empty(n, dtype=np.int64)
             for i in range(n - 1, -1, -1):
                 reach[i] = ends[i] - n if ends[i] >= n else reach[ends[i]]
-            out.append(reach[: target].astype(np.int32))
+            out.append(reach.astype(np.int32))
         return pd.Series(out)
 
     return exits
@@ -85,9 +84,11 @@ def greedy_chunks(pieces: DataFrame, key: str, target: int = V.RAW_TARGET_CHARS)
 
     A piece joins the open chunk while chunk + gap + piece stays within ``target``.
     """
-    reach = target // (SHORTEST_PIECE + PIECE_GAP) + 2
+    # empty pieces still cost their gap, so no chunk spans more; a slice is never shorter than that
+    reach = target // PIECE_GAP + 2
+    width = max(SLICE, reach)
     by_slice = settle(
-        pieces.withColumn("slice", F.expr(f"n div {SLICE}"))
+        pieces.withColumn("slice", F.expr(f"n div {width}"))
         .groupBy(key, "slice")
         .agg(F.array_sort(F.collect_list(F.struct("n", "size"))).alias("_own"))
         .select(key, "slice", F.transform("_own", lambda p: p["size"]).alias("sizes"))
@@ -136,9 +137,9 @@ def greedy_chunks(pieces: DataFrame, key: str, target: int = V.RAW_TARGET_CHARS)
     )
     last = owned.select(
         key, (F.col("slice") + 1).alias("slice"),
-        (F.col("slice") * SLICE + F.element_at("owner", -1)).alias("carried"),
+        (F.col("slice") * width + F.element_at("owner", -1)).alias("carried"),
     )
-    start = F.col("slice") * SLICE
+    start = F.col("slice") * width
     return (
         owned.select(key, "slice", "owner")
         .join(last, [key, "slice"], "left")
@@ -212,8 +213,11 @@ def stride_sample(
     return placed.where((F.col("_chars") <= cap) | chosen).drop("_count", "_chars", "_keep", "_pos")
 
 
-def raw_blocks(turns: DataFrame, key: str, cap: int = 400_000) -> DataFrame:
-    """Turns of a compaction as sanitized raw blocks with a stable order column ``place``."""
+def raw_blocks(turns: DataFrame, key: str, cap: int = 0) -> DataFrame:
+    """Turns of a compaction as sanitized raw blocks with a stable order column ``place``.
+
+    All of them, unless ``cap`` asks for an even sample of about so many characters.
+    """
     parts = fixed_slices(packed_chunks(turns, key), key)
     placed = parts.withColumn("place", F.col("chunk") * PART_ROOM + F.col("part"))
     numbered = stride_sample(placed, key, "place", cap, SLICE_WIDTH * PART_ROOM)

@@ -50,3 +50,20 @@ def score_bands(scored: DataFrame, score: str, width: float = 0.1) -> DataFrame:
     return scored.groupBy(band.alias("band")).agg(
         F.count("*").alias("n"), F.min(score).alias("low"), F.max(score).alias("high")
     )
+
+
+def verdict_counts(pairs: DataFrame, key: str) -> DataFrame:
+    """Hits and misses of judged questions per key, with their distinct sessions."""
+    return pairs.groupBy(key).agg(
+        F.count_if(F.col("verdict") == "hit").alias("hits"),
+        F.count_if(F.col("verdict") != "hit").alias("misses"),
+        F.count_distinct("session").alias("sessions"),
+    )
+
+
+def volume_by_type(rows: DataFrame, kind: str, text: str, batch: int = 8) -> DataFrame:
+    """Rows, characters and batches of ``batch`` rows per kind of row."""
+    return rows.groupBy(kind).agg(
+        F.count("*").alias("n"), F.sum(F.length(text)).cast("bigint").alias("chars"),
+        F.ceil(F.count("*") / batch).cast("bigint").alias("batches"),
+    )

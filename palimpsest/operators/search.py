@@ -9,9 +9,7 @@ from palimpsest import vocab as V
 from palimpsest.functions import tokens as K
 from palimpsest.operators.index import BlockIndex
 from palimpsest.operators.ordered import top_per_key
-from palimpsest.session import settle
 
-BROADCAST_ROWS = 500_000
 SCORE_DIGITS = 9
 
 
@@ -78,10 +76,8 @@ def search(
     """
     if "segment" not in queries.columns:
         queries = queries.withColumn("segment", F.lit(0))
-    weighted = settle(weighted_terms(index, query_terms(queries, min_matched)))
+    weighted = weighted_terms(index, query_terms(queries, min_matched))
     side = weighted.select("query_id", "segment", "session", "token", "idf", "avgdl")
-    if weighted.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
     postings = index.postings
     if layers is not None:
         postings = postings.where(F.col("layer").isin(layers))

@@ -95,16 +95,20 @@ def pair_calls(results: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
+WHOLE_TEXT = (1 << 31) - 1
+
+
 def tool_blocks(
     results: DataFrame, calls: DataFrame, key: str, *, names: str = DEFAULT_NAMES,
-    max_chars: int = 4000, budget: int = 120_000, cwd: str = "/", own_root: str = "",
+    max_chars: int = 0, budget: int = 0, cwd: str = "/", own_root: str = "",
 ) -> DataFrame:
     """Kept tool results as blocks: ``key, seq, name, target, title, text, truncated``.
 
     ``results``: session, key, seq, call_id, is_error, text. ``seq`` is unique within ``key``.
-    Results of reading files inside ``own_root`` are left out.
+    Results of reading files inside ``own_root`` are left out. Texts are whole and all results are kept unless
+    ``max_chars`` (200 to 20,000 per text) or ``budget`` (per key) ask for less.
     """
-    limit = max(200, min(20_000, max_chars))
+    limit = max(200, min(20_000, max_chars)) if max_chars > 0 else WHOLE_TEXT
     paired = pair_calls(results, calls)
     if own_root:
         paired = paired.where(~reads_own_store(F.col("args"), F.lit(cwd), F.lit(own_root)))

@@ -10,6 +10,8 @@ from palimpsest.functions import tokens as K
 from palimpsest.functions.sanitize import strip_markers
 from palimpsest.operators.ordered import last_before, running_sum, top_per_key
 
+RANGE_SLICE = 4096
+
 
 def is_user(col: str = "type") -> Column:
     return F.col(col) == "user/message"
@@ -124,8 +126,22 @@ def message_questions(events: DataFrame) -> DataFrame:
     )
 
 
-def in_ranges(events: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Events inside each valid ``[seq_start, seq_end]`` of their session, both ends included."""
-    valid = ranges.where("seq_start is not null and seq_end is not null and seq_end >= seq_start")
+def in_ranges(events: DataFrame, ranges: DataFrame, width: int = RANGE_SLICE) -> DataFrame:
+    """Events inside each valid ``[seq_start, seq_end]`` of their session, both ends included.
+
+    Sessions are cut into slices of ``width`` sequence numbers and a range goes to the slices that it
+    touches, so a busy session is dealt over many tasks and meets no range that lies elsewhere.
+    """
+    extent = events.groupBy("session").agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))
+    low, high = F.greatest("seq_start", "_low"), F.least("seq_end", "_high")
+    sliced = (
+        ranges.where("seq_start is not null and seq_end is not null and seq_end >= seq_start")
+        .join(extent, "session").where(low <= high)
+        .withColumn("_slice", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+        .drop("_low", "_high")
+    )
     inside = (F.col("seq") >= F.col("seq_start")) & (F.col("seq") <= F.col("seq_end"))
-    return events.join(valid, "session").where(inside)
+    return (
+        events.withColumn("_slice", F.floor(F.col("seq") / width))
+        .join(sliced, ["session", "_slice"]).where(inside).drop("_slice")
+    )

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest import vocab as V
 
 LOG_NAME = r"session(\.v\d+)?\.jsonl(\.zstd)?$"
 _MAGIC = 0xFD2FB528
@@ -133,24 +132,25 @@ def find_log(files: DataFrame, wanted: str) -> DataFrame:
     return chosen.orderBy(*order).limit(1).select(*files.columns)
 
 
-def within_gate(files: DataFrame, limit: int = V.LOG_GATE_BYTES) -> DataFrame:
-    """Logs small enough to be decoded in one task; a missing size is allowed."""
+def within_gate(files: DataFrame, limit: int) -> DataFrame:
+    """Logs up to a size, for callers that want a gate; a missing size is allowed."""
     return files.where(F.col("bytes").isNull() | (F.col("bytes") <= limit))
 
 
-def read_lines(spark: SparkSession, root: str, limit: int = V.LOG_GATE_BYTES) -> DataFrame:
-    """Decoded lines of all logs under ``root``; a broken frame is counted and skipped.
+def read_lines(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """Decoded lines of the one log of each session under ``root``; a broken frame is counted and skipped.
 
-    The size gate bounds what one task holds; larger logs stay out and are listed by
-    ``log_files``.
+    No log is left out for its size unless the caller sets ``limit``.
     """
-    return (
+    chosen = best_logs(log_files(spark, root)).select("path")
+    found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "session*").load(root)
-        .where(F.col("path").rlike("/" + LOG_NAME) & (F.col("length") <= limit))
-        .select("path", "content")
-        .mapInPandas(_lines_of, _LINES)
+        .where(F.col("path").rlike("/" + LOG_NAME))
     )
+    if limit is not None:
+        found = found.where(F.col("length") <= limit)
+    return found.join(chosen, "path", "left_semi").select("path", "content").mapInPandas(_lines_of, _LINES)
 
 
 def parse_events(lines: DataFrame) -> DataFrame:

@@ -52,7 +52,9 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    """Benchmark items as questions, each asked in one session that its number chooses."""
+    session = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), session.alias("session"), "text")
 
 
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:

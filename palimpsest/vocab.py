@@ -94,5 +94,4 @@ RAW_BLOCK_CHARS = 1500
 SUMMARY_TARGET_CHARS = 500
 SUMMARY_MAX_CHARS = 900
 TINY_BLOCK_CHARS = 80
-LOG_GATE_BYTES = 64 * 1024 * 1024
 HISTORY_MAX_CHARS = 12000

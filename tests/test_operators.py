@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import mutations as M
 from palimpsest.operators import packing, timepos
+from palimpsest.operators.diagnose import verdicts
 from palimpsest.operators.index import build_index
 from palimpsest.operators.ordered import exact_rank, last_before, row_number
 from palimpsest.operators.records import finish_records
 from palimpsest.operators.search import search
 from palimpsest.operators.tiers import segmented, two_tier
-from palimpsest.operators.turns import conversation_turns
+from palimpsest.operators.turns import conversation_turns, in_ranges
 from palimpsest.streaming.state import rate_limited
 
 
@@ -71,6 +72,34 @@ def test_packing_across_slices(spark, monkeypatch, sizes):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 5])
+def test_packing_of_small_pieces(spark, size):
+    rows = [("k", i, size) for i in range(9000)]
+    want, first, total = {}, 0, 0
+    for i in range(9000):
+        if i > first and total + 2 + size > 900:
+            first, total = i, size
+        else:
+            total = size if i == first else total + 2 + size
+        want[i] = first
+    df = spark.createDataFrame(rows, "k string, n bigint, size int")
+    assert {r.n: r.chunk for r in packing.greedy_chunks(df, "k").collect()} == want
+
+
+def test_verdict_reads_every_absent_word(spark):
+    words = [f"unknown{chr(97 + i)}word" for i in range(26)]
+    records = finish_records(spark.createDataFrame(
+        [(1, "s", "summary", "c", "2024", 1, 2, None, "something else entirely in here", None, None)],
+        "ord bigint, session string, layer string, compaction_id string, at string, seq_start bigint, seq_end bigint, "
+        "shadowed_tokens bigint, text string, src string, tool string",
+    ))
+    ask = spark.createDataFrame([(1, "s", " ".join(words))], "query_id bigint, session string, text string")
+    for lost in (words[3], words[24]):
+        dropped = spark.createDataFrame([("s", f"was {lost} once")], "session string, text string")
+        row = verdicts(build_index(records), ask, dropped=dropped).first()
+        assert (row.verdict, len(row.absent)) == ("not-ingested", row.total)
+
+
 def test_running_budget_skips_and_continues(spark):
     rng = random.Random(5)
     data = [("a" if i % 3 else "b", i, rng.choice([3, 7, 20, 41])) for i in range(300)]
@@ -95,6 +124,16 @@ def test_turns_skip_retries(spark):
     assert got == [(1, 2, "q1", "one\ntwo"), (2, 8, "q1", "")]
 
 
+def test_ranges_overlap_and_cross_slices(spark):
+    rng = random.Random(9)
+    events = [(rng.choice("aab"), rng.randint(-5, 400)) for _ in range(500)]
+    ranges = [("a", 0, 399, 1), ("a", 50, 60, 2), ("a", 55, 300, 3), ("b", -100, 10**12, 4), ("b", 7, 6, 5), ("c", 0, 9, 6), ("a", None, 3, 7)]
+    want = sorted((s, q, n) for s, q in events for t, lo, hi, n in ranges if s == t and lo is not None and lo <= q <= hi)
+    e = spark.createDataFrame(events, "session string, seq bigint")
+    r = spark.createDataFrame(ranges, "session string, seq_start bigint, seq_end bigint, n int")
+    assert sorted((x.session, x.seq, x.n) for x in in_ranges(e, r, width=16).collect()) == want
+
+
 def test_rate_limiter(spark):
     times = [1000, 1100, 1200, 2100]
     df = spark.createDataFrame([("k", i, t) for i, t in enumerate(times)], "key string, n bigint, at_ms bigint")

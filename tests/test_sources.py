@@ -53,6 +53,8 @@ def test_session_log_roundtrip(spark, tmp_path):
     assert find_log(files, "session-ab").first().path.endswith("v2.jsonl.zstd")
     assert find_log(files, "nope").count() == 0
     lines = read_lines(spark, str(tmp_path))
+    assert lines.select("path").distinct().count() == 1  # one log of a session, whatever its size
+    assert read_lines(spark, str(tmp_path), limit=10).count() == 0
     events = parse_events(lines).where(F.col("path").endswith(".zstd")).orderBy("line_no").collect()
     assert [e.type for e in events] == ["session", "user/message"]
     decoded = lines.where(F.col("path").endswith(".zstd")).first()
