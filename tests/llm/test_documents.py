@@ -293,6 +293,14 @@ def test_registered_queries(spark):
     assert back == {c: brute_chat(ts) for c, ts in turns.items()}
 
 
+def test_repeated_rows_leave_one(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(20)
+    twice = docs.union(docs)
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    want = sorted(r["doc_id"] for r in stage(spark, docs, SMALL).collect())
+    assert sorted(r["doc_id"] for r in stage(spark, twice, SMALL).collect()) == want
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = docs
