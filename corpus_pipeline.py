@@ -24,9 +24,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group; of repeated rows one stays."""
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    return _without(docs, found.where(~F.col("kept")))
+    kept = _without(docs, found.where(~F.col("kept")))
+    again = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
+    if not again.limit(1).count():
+        return kept
+    repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return _without(kept, again).unionByName(repeated)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
