@@ -26,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.chunked import chunk_ids
@@ -46,15 +47,16 @@ INDEX_SCHEMA = (
 )
 
 
-def token_ids(text: Column, tokenizer: str, end: int) -> Column:
-    """Ids of the whole text and the end id, as packed bytes."""
+def encoded(rows: DataFrame, tokenizer: str, end: int) -> DataFrame:
+    """(part, key, ids) of rows (part, key, text): ids of the whole text and the end id, as packed bytes."""
 
-    @F.pandas_udf("binary")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(chunk_ids(tokenizer).encode(texts.tolist(), end), dtype=object)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = chunk_ids(tokenizer).encode(batch.column("text").to_pylist(), end)
+            columns = [batch.column("part"), batch.column("key"), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "key", "ids"])
 
-    return of(text)
+    return rows.mapInArrow(of, "part long, key long, ids binary")
 
 
 def id_width(tokenizer: str) -> int:
@@ -94,12 +96,12 @@ def write_shards(
         if ids:
             yield row()
 
+    rows = docs.select(
+        order_part(key, bounds).cast("long").alias("part"), F.col(key).cast("long").alias("key"),
+        F.col(text).cast("string").alias("text"),
+    )
     (
-        docs.select(
-            order_part(key, bounds).cast("long").alias("part"),
-            F.col(key).cast("long").alias("key"),
-            token_ids(F.col(text), tokenizer, end).alias("ids"),
-        )
+        encoded(rows, tokenizer, end)
         .repartition(shuffle_width(spark), "part")
         .sortWithinPartitions("part", "key", "ids")
         .mapInPandas(pack, SHARD_SCHEMA)
