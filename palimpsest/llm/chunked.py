@@ -12,6 +12,8 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -24,7 +26,7 @@ CHUNK = re.compile(
 )
 UNSURE = "᠎"
 MEMO_ENTRIES = 200_000
-ID_ENTRIES = 350_000
+ID_ENTRIES = 900_000
 RUN = 500
 
 
@@ -118,16 +120,20 @@ class ChunkIds:
         return [ids for some in slices(texts) for ids in self._encode(some, end)]
 
     def _encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
+        memo = self.memo
         cut = [CHUNK.findall(t) if t and UNSURE not in t else None for t in texts]
-        passing, lasting = split_unseen(set().union(*(c for c in cut if c)), self.memo, ID_ENTRIES)
-        self._fill(lasting, memo := self.memo)
-        memo.passing = {}
-        self._fill(passing, memo.passing)
+        known = [list(map(memo.get, c)) if c else None for c in cut]
+        unseen = set().union(*(compress(c, map(is_, k, repeat(None))) for c, k in zip(cut, known) if c))
+        passing, lasting = split_unseen(unseen, memo, ID_ENTRIES)
+        new: dict[str, bytes] = {}
+        self._fill(lasting, new)
+        memo.update(new)
+        self._fill(passing, new)
         last = b"" if end is None else self.pack([end])
         out = []
-        for text, chunks in zip(texts, cut):
+        for text, chunks, ids in zip(texts, cut, known):
             if chunks is not None:
-                out.append(b"".join(map(memo.__getitem__, chunks)) + last)
+                out.append(b"".join([new[c] if i is None else i for i, c in zip(ids, chunks)]) + last)
             else:
                 out.append(self.pack(self.tokenizer.encode(text or "", add_special_tokens=False).ids) + last)
         return out

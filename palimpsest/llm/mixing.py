@@ -219,8 +219,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **
     )
     cols = [F.col(f"`{c}`") for c in docs.columns]
     units = (
-        docs.withColumns({"_id": F.col(key), "_print": F.xxhash64(text)})
-        .groupBy("_id", "_print").agg(F.first(F.struct(*cols)).alias("_row"))
+        docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_print"), F.struct(*cols).alias("_row"))
+        .groupBy("_id", "_print").agg(F.first("_row").alias("_row"))
     )
 
     @F.pandas_udf("string")

@@ -292,10 +292,11 @@ def token_counts(docs: DataFrame, limit: int, text: str = "text", tokenizer: str
     """
     results = ["n_bytes", "n_tokens", "over_limit", "cut_chars"]
     keep = [c for c in docs.columns if c not in (text, *results)]
+    spare = "_" * (1 + max((len(c) for c in keep), default=0))  # a name that no column has
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(len(keep)).to_pylist()
             n, cut = [], []
             for some in slices(texts):
                 for steps in counter(tokenizer).steps(some):
@@ -305,6 +306,6 @@ def token_counts(docs: DataFrame, limit: int, text: str = "text", tokenizer: str
             made = [pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(cut, pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], names=[*batch.schema.names[: len(keep)], *results])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias(spare))
     schema = StructType([*[docs.schema[c] for c in keep], *[StructField(c, BooleanType() if c == "over_limit" else LongType()) for c in results]])
     return rows.mapInArrow(of, schema)

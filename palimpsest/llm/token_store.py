@@ -105,7 +105,7 @@ def write_shards(
         .repartition(shuffle_width(spark), "part")
         .sortWithinPartitions("part", "key", "ids")
         .mapInPandas(pack, SHARD_SCHEMA)
-        .write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/shards")
+        .write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/shards")
     )
 
 

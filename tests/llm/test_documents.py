@@ -301,6 +301,19 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r["doc_id"] for r in stage(spark, twice, SMALL).collect()) == want
 
 
+def test_stages_keep_columns_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumns(
+        {"rejected": F.lit("mine"), "_id": F.lit(5), "_text": F.lit("x"), "size": F.lit(None).cast("int"), "kept": F.lit(0)}
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SMALL)
+        assert after.columns == docs.columns, name
+        got = after.select("rejected", "_id", "_text", "size", "kept").distinct().collect()
+        assert [tuple(r) for r in got] == [("mine", 5, "x", None, 0)], name
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = docs
