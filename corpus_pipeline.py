@@ -18,9 +18,9 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject."""
     labels = toxicity.label_categories(table(spark, sf_dir, "labels"))
-    rows = docs.withColumn("_text", F.col("text"))
-    scored = toxicity.scored(rows, labels, toxicity.CATEGORIES, "toxic", text="_text")
-    return scored.where(~F.col("rejected")).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    scored = toxicity.scored(rows, labels, toxicity.CATEGORIES, "toxic")
+    return scored.where(~F.col("rejected")).select("_row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
