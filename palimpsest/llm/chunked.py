@@ -25,7 +25,7 @@ CHUNK = re.compile(
     f" ?[{LATIN}]++(?=[.,;:!? \n]|\\Z)|[.,;:!?]++(?=[ \n]|\\Z)|\n(?=[^{SPACES}])|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+"
 )
 UNSURE = "᠎"
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 600_000
 ID_ENTRIES = 900_000
 RUN = 500
 

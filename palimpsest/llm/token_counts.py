@@ -31,8 +31,8 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from palimpsest.llm.chunked import CHUNK, SPACES, UNSURE, Memo, load_tokenizer, slices, split_unseen, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
-PAIR_ENTRIES = 200_000
-STATE_ENTRIES = 300_000
+PAIR_ENTRIES = 400_000
+STATE_ENTRIES = 800_000
 
 
 def byte_letters() -> list[str]:
