@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TRAIN = 8000
+MAX_TRAIN = 5000
 FOLDS = 3
 MIN_DOCS = 3
 MIN_Z = 3.5
@@ -39,7 +39,7 @@ KEEP = 3000
 STEPS = 300
 L2 = 1e-3
 SHAPE_L2 = 0.01
-WORD_ENTRIES = 400_000
+WORD_ENTRIES = 250_000
 WORD = re.compile(r"\w+")
 SHAPE = 4
 
@@ -76,14 +76,14 @@ class Sparse:
         self.rows, self.cols, self.values, self.n = rows, cols, values, n
 
     def take(self, rows: np.ndarray) -> Sparse:
-        place = np.full(self.n, -1)
-        place[rows] = np.arange(len(rows))
+        place = np.full(self.n, -1, np.int32)
+        place[rows] = np.arange(len(rows), dtype=np.int32)
         keep = place[self.rows] >= 0
         return Sparse(place[self.rows[keep]], self.cols[keep], self.values[keep], len(rows))
 
     def select(self, features: np.ndarray, total: int) -> Sparse:
-        place = np.full(total, -1)
-        place[features] = np.arange(len(features))
+        place = np.full(total, -1, np.int32)
+        place[features] = np.arange(len(features), dtype=np.int32)
         keep = place[self.cols] >= 0
         return Sparse(self.rows[keep], place[self.cols[keep]], self.values[keep], self.n)
 
@@ -157,14 +157,16 @@ def fit_chain(texts: list[str | None], labels: np.ndarray) -> list[dict]:
         words = words_of(text)
         distinct = set(words)
         found = Counter(names.setdefault(f, len(names)) for w in sorted(distinct) for f in word_features(w))
-        rows.append(np.full(len(found), i))
-        cols.append(np.fromiter(found.keys(), np.int64, len(found)))
-        values.append(np.log1p(np.fromiter(found.values(), float, len(found))))
+        rows.append(np.full(len(found), i, np.int32))
+        cols.append(np.fromiter(found.keys(), np.int32, len(found)))
+        values.append(np.log1p(np.fromiter(found.values(), np.float32, len(found))))
         dense.append(shape(text, words, len(distinct)))
     n, total = len(texts), len(names)
-    x = Sparse(*(np.concatenate(a) if a else np.zeros(0, t) for a, t in ((rows, np.int64), (cols, np.int64), (values, float))), n)
+    x = Sparse(*(np.concatenate(a) if a else np.zeros(0, t) for a, t in ((rows, np.int32), (cols, np.int32), (values, np.float32))), n)
+    del rows, cols, values
     often = np.flatnonzero(np.bincount(x.cols, minlength=total) >= MIN_DOCS)
     x, total, listed = x.select(often, total), len(often), list(names)
+    names.clear()
     seen = np.array(dense, float).reshape(n, SHAPE)
     fold = np.arange(n) % FOLDS
     models = []
