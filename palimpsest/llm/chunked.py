@@ -26,7 +26,7 @@ CHUNK = re.compile(
 )
 UNSURE = "᠎"
 MEMO_ENTRIES = 600_000
-ID_ENTRIES = 900_000
+ID_ENTRIES = 300_000
 RUN = 500
 
 
