@@ -1,8 +1,9 @@
 """Benchmark decontamination with a BM25 index of the test items and block-max WAND.
 
 Every training passage (overlapping windows of a document's words) is a query against the inverted index of
-the test items; all items above a threshold are retrieved, and a hit counts if the item's question and answer
-really occur around the passage: their five-word shingles are contained to ``QUESTION`` and ``ANSWER``.
+the test items; all items above a threshold are retrieved, and a hit counts if the item really occurs around the passage: the
+shingles of the whole item are contained to ``WHOLE``, or those of its question and of its answer, which may
+then stand apart, to ``QUESTION`` and ``ANSWER``. A changed word in a short answer alone vetoes nothing.
 
 Scores are BM25 contributions of an item's terms, divided by the item's own full score, so a passage that
 holds the whole item scores 1 and the threshold does not depend on the length of an item.
@@ -18,7 +19,9 @@ holds the whole item scores 1 and the threshold does not depend on the length of
 
 Defined results: null and empty texts hold no passage and match nothing; a null item text is no item; equal
 items are separate items; repeated rows give repeated results; an empty table gives no rows. An item of one
-sentence has its last third of words as the answer; items shorter than five words count as one shingle.
+sentence has its last third of words as the answer; parts shorter than five words count as one shingle. Shingles
+of a whole item have five words, fewer below 24 words, so that one changed word never breaks a quarter of them;
+items of fewer than nine words, too short to tell an edit from another phrase, keep five.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ PASSAGE, STRIDE = 192, 96
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 WEAK = 0.35
-QUESTION, ANSWER = 0.75, 0.75
+QUESTION, ANSWER, WHOLE = 0.75, 0.75, 0.75
 SHINGLE = 5
 POSTINGS_BLOCK = 64
 SHARD_TERMS = 1_000_000
@@ -61,9 +64,14 @@ def split_item(text: str) -> tuple[str, str]:
     return (" ".join(words[:at]), " ".join(words[at:])) if at else (text, "")
 
 
-def contained(part: list[str], words: list[str]) -> float:
+def whole_shingle(length: int) -> int:
+    """Words in a shingle of a whole item: one changed word breaks at most a quarter of an item's shingles."""
+    return SHINGLE if length < 9 else min(SHINGLE, (length + 1) // 5)
+
+
+def contained(part: list[str], words: list[str], shingle: int = SHINGLE) -> float:
     """Share of the part's distinct shingles that occur in ``words``; shorter parts are one shingle."""
-    n = min(SHINGLE, len(part))
+    n = min(shingle, len(part))
     if not n:
         return 1.0
     wanted = set(zip(*(part[i:] for i in range(n))))
@@ -200,7 +208,8 @@ class Index:
                     continue
                 around = words[max(0, start - self.longest) : start + PASSAGE + self.longest]
                 q, a = contained(self.question[item], around), contained(self.answer[item], around)
-                if q >= QUESTION and a >= ANSWER:
+                whole = self.question[item] + self.answer[item]
+                if (q >= QUESTION and a >= ANSWER) or contained(whole, around, whole_shingle(len(whole))) >= WHOLE:
                     best[item] = (score, q, a, start)
         return [(self.ids[i], *v) for i, v in sorted(best.items())]
 

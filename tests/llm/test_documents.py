@@ -110,6 +110,27 @@ def test_leaks(spark):
     assert decontaminate.leaks(table, parts.limit(0)).count() == 0
 
 
+def test_edited_copies_are_leaks(spark):
+    """One changed word, at any place of question or answer, loses no item; half an item is none."""
+    rng = random.Random(12)
+    shapes = [(30, 8), (30, 3), (30, 1), (3, 30), (10, 5), (7, 2), (18, 6)]
+    items = [(i, " ".join(words(rng, q)) + ". " + " ".join(words(rng, a)) + ".") for i, (q, a) in enumerate(shapes)]
+    docs, want = [], []
+    for i, text in items:
+        for at in range(len(text.split())):
+            copy = text.split()
+            copy[at] = "changed."
+            want.append((len(docs), i))
+            docs.append((len(docs), " ".join([*words(rng, 150), *copy, *words(rng, 150)])))
+        docs.append((len(docs), " ".join([*words(rng, 150), *text.split()[: len(text.split()) // 2], *words(rng, 150)])))
+    apart = items[4][1].replace(". ", ". The right answer to this question is: ", 1)
+    want.append((len(docs), 4))
+    docs.append((len(docs), apart))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    parts = decontaminate.item_parts(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, parts).collect()) == want
+
+
 def test_wand_finds_what_scoring_all_finds():
     rng = random.Random(2)
     vocab = [f"t{int(rng.paretovariate(0.7)) % 400}" for _ in range(9000)]
