@@ -5,8 +5,11 @@ the test items; all items above a threshold are retrieved, and a hit counts if t
 shingles of the whole item are contained to ``WHOLE``, or those of its question and of its answer, which may
 then stand apart, to ``QUESTION`` and ``ANSWER``. A changed word in a short answer alone vetoes nothing.
 
-Scores are BM25 contributions of an item's terms, divided by the item's own full score, so a passage that
-holds the whole item scores 1 and the threshold does not depend on the length of an item.
+The index holds sections: an item of at most ``STRIDE`` words is one, a longer item is cut evenly into several,
+so each section lies whole in some passage wherever it stands. Scores are BM25 contributions of a section's terms,
+divided by the section's own full score, so a passage that holds it scores 1 and the threshold does not depend on
+the length of an item. A retrieved section stands for its item, which is verified as a whole in the passage and
+as many words as the item has on either side, whatever other items there are.
 
 * *Index*: postings by term with the largest contribution of each list and of each block of 64 postings. It
   is built by Spark, in pieces of at most ``SHARD_TERMS`` item words; passages meet one piece after another,
@@ -64,6 +67,12 @@ def split_item(text: str) -> tuple[str, str]:
     return (" ".join(words[:at]), " ".join(words[at:])) if at else (text, "")
 
 
+def section_starts(length: int) -> list[int]:
+    """Bounds of the sections of an item of ``length`` words."""
+    parts = max(1, -(-length // STRIDE))
+    return [k * length // parts for k in range(parts + 1)]
+
+
 def whole_shingle(length: int) -> int:
     """Words in a shingle of a whole item: one changed word breaks at most a quarter of an item's shingles."""
     return SHINGLE if length < 9 else min(SHINGLE, (length + 1) // 5)
@@ -79,17 +88,20 @@ def contained(part: list[str], words: list[str], shingle: int = SHINGLE) -> floa
 
 
 class Index:
-    """Inverted index of a bounded set of items."""
+    """Inverted index of the sections of a bounded set of items."""
 
     def __init__(self, items: list[tuple[int, str, str]], idf: dict[str, float], mean: float) -> None:
         self.ids = [i for i, _, _ in items]
         self.question = [words_of(q) for _, q, _ in items]
         self.answer = [words_of(a) for _, _, a in items]
-        self.longest = 0
+        self.item_of: list[int] = []
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for n, (_, q, a) in enumerate(items):
-            words = words_of(q) + words_of(a)
-            self.longest = max(self.longest, len(words))
+        sections = []
+        for n, (q, a) in enumerate(zip(self.question, self.answer)):
+            whole, bounds = q + a, section_starts(len(q) + len(a))
+            sections += [whole[low:high] for low, high in zip(bounds, bounds[1:])]
+            self.item_of += [n] * (len(bounds) - 1)
+        for n, words in enumerate(sections):
             counts: dict[str, int] = defaultdict(int)
             for w in words:
                 counts[w] += 1
@@ -106,7 +118,7 @@ class Index:
         self.block_top = [[max(v[i : i + POSTINGS_BLOCK]) for i in range(0, len(v), POSTINGS_BLOCK)] for v in self.impacts]
         # weak terms: the most common ones, short words first, as long as no item gets more than WEAK from them
         # together; which terms are weak changes the work, never the result
-        mass = np.zeros(len(items))
+        mass = np.zeros(len(sections))
         self.strong: dict[str, int] = {}
         for w in sorted(self.terms, key=lambda w: (-len(lists[w]), len(w), w)):
             at, v = self.docs[self.number[w]], np.array(self.impacts[self.number[w]])
@@ -123,7 +135,7 @@ class Index:
         self.strong_impacts = np.array([v for t in some for v in self.impacts[t]], float)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose score over ``terms`` reaches the threshold, by block-max WAND."""
+        """All sections whose score over ``terms`` reaches the threshold, by block-max WAND."""
         cursors = [[self.docs[t][0], t, 0] for t in terms]
         found = []
         while cursors:
@@ -154,7 +166,7 @@ class Index:
             else:
                 # nothing before the nearest block end can reach the threshold with these lists
                 ends = [self.docs[t][min(len(self.docs[t]), (p // POSTINGS_BLOCK + 1) * POSTINGS_BLOCK) - 1] + 1 for _, t, p in cursors[: pivot + 1]]
-                target = max(item + 1 if cursors[0][0] == item else item, min(ends) if len(self.ids) > POSTINGS_BLOCK else 0)
+                target = max(item + 1 if cursors[0][0] == item else item, min(ends) if len(self.item_of) > POSTINGS_BLOCK else 0)
                 if pivot + 1 < len(cursors):
                     target = min(target, max(cursors[pivot + 1][0], item + 1 if cursors[0][0] == item else item))
             moved = []
@@ -201,16 +213,25 @@ class Index:
     def leaks(self, text: str | None, threshold: float) -> list[tuple[int, float, float, float, int]]:
         """(item id, score, question overlap, answer overlap, first word) of each verified item, best passage."""
         words = words_of(text)
-        best: dict[int, tuple[float, float, float, int]] = {}
+        found: dict[int, dict[int, float]] = defaultdict(dict)
         for start, terms in self.passages(words, threshold):
-            for item, score in self.search(terms, threshold):
-                if item in best and best[item][0] >= score:
+            for section, score in self.search(terms, threshold):
+                at = found[self.item_of[section]]
+                at[start] = max(score, at.get(start, 0.0))
+        best: dict[int, tuple[float, float, float, int]] = {}
+        for item, at in found.items():
+            whole = self.question[item] + self.answer[item]
+            tried = set()
+            for start in sorted(at, key=lambda s: (-at[s], s)):
+                low, high = max(0, start - len(whole)), min(len(words), start + PASSAGE + len(whole))
+                if (low, high) in tried:
                     continue
-                around = words[max(0, start - self.longest) : start + PASSAGE + self.longest]
+                tried.add((low, high))
+                around = words[low:high]
                 q, a = contained(self.question[item], around), contained(self.answer[item], around)
-                whole = self.question[item] + self.answer[item]
                 if (q >= QUESTION and a >= ANSWER) or contained(whole, around, whole_shingle(len(whole))) >= WHOLE:
-                    best[item] = (score, q, a, start)
+                    best[item] = (at[start], q, a, start)
+                    break
         return [(self.ids[i], *v) for i, v in sorted(best.items())]
 
 
@@ -234,11 +255,19 @@ def leaks(
     answer_overlap, first_word. ``items`` has item, question, answer, words."""
     spark = docs.sparkSession
     parts = written(items, "items")
-    sizes = parts.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
-    count, total = sizes[0], sizes[1] or 0
+    count_of = F.greatest(F.lit(1), F.ceil(F.size("words") / F.lit(STRIDE)).cast("int"))
+    sizes = parts.agg(F.sum(count_of), F.sum(F.size("words"))).first()
+    count, total = sizes[0] or 0, sizes[1] or 0
     shards = max(1, math.ceil(total / shard_terms))
+    # the bounds are those of section_starts
+    start = lambda k: F.floor(k.cast("long") * F.size("words") / count_of)
+    sections = F.transform(
+        F.sequence(F.lit(0), count_of - 1),
+        lambda k: F.slice("words", (start(k) + 1).cast("int"), (start(k + 1) - start(k)).cast("int")),
+    )
     frequency = written(
-        parts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), "frequency",
+        parts.select(F.explode(sections).alias("section")).select(F.explode(F.array_distinct("section")).alias("word"))
+        .groupBy("word").agg(F.count(F.lit(1)).alias("df")), "frequency",
     )
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("item", "question"), F.lit(shards)))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

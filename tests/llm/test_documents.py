@@ -131,6 +131,30 @@ def test_edited_copies_are_leaks(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, parts).collect()) == want
 
 
+def test_long_items_are_leaks(spark):
+    """Items far longer than a passage are found verbatim and edited, in any number of index pieces."""
+    rng = random.Random(13)
+    items = [(i, " ".join(words(rng, n, 10**6)) + ". " + " ".join(words(rng, 6)) + ".") for i, n in enumerate((1000, 330, 150, 97, 40))]
+    docs, want = [], []
+    for i, text in items:
+        for before in (0, 77, 191):
+            copy = text.split()
+            for at in range(20, len(copy), 60):
+                copy[at] = "changed"
+            for held in (text.split(), copy):
+                want.append((len(docs), i))
+                docs.append((len(docs), " ".join([*words(rng, before), *held, *words(rng, 200)])))
+    docs.append((len(docs), " ".join(items[0][1].split()[:400])))  # less than half of an item
+    # two halves of a short item, further apart than the item is long: no hit beside a long item either
+    docs.append((len(docs), " ".join([*items[4][1].split()[:34], *words(rng, 700), *items[4][1].split()[34:]])))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    parts = decontaminate.item_parts(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    for shard_terms in (300, 1_000_000):
+        got = decontaminate.leaks(table, parts, shard_terms=shard_terms).collect()
+        hits = sorted((r["doc_id"], r["item_id"]) for r in got)
+        assert hits == want
+
+
 def test_wand_finds_what_scoring_all_finds():
     rng = random.Random(2)
     vocab = [f"t{int(rng.paretovariate(0.7)) % 400}" for _ in range(9000)]
