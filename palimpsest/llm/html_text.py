@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
 Each page becomes a DOM. Subtrees that are never part of an article (menus, page headers and footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments) are cut off by element, role and class
-words. Every remaining node gets its composite text density: characters per tag, adjusted for the share of
+sidebars, notices, adverts, forms, scripts, styles, reader comments) are cut off by element and role. A form or a
+word of a class or id only makes a candidate: it stays if it holds most of the page's text or its main element,
+and inside the article if it is a heading or, under a word that an article may be about as well, a section or
+running text that is not mostly links. Every remaining node gets its composite text density: characters per tag, adjusted for the share of
 linked characters and tags and for the share of links in the body. The node whose children's densities sum
 highest is the core; the lowest density on its path to the body is the threshold, and every part of the page
 at or above it belongs to the text, together with the headings and short blocks of the article element that
@@ -33,9 +35,9 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 DROPPED = frozenset(
     "script style noscript template iframe svg canvas object embed nav aside footer form button select "
     "option textarea title head dialog menu noembed noframes audio video map".split()
-)
+) - {"form"}
 ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split()
+    "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split()
 )
 #: Class and id words of parts that are not the article.
 APART = frozenset(
@@ -45,6 +47,18 @@ APART = frozenset(
     "navigation breadcrumb breadcrumbs masthead footer footers copyright share sharing social comment comments "
     "commentlist discussion responses disqus replies reply respond side form login signup search pagination pager toolbar".split()
 )
+#: Those of them that an article's own parts may be named after, too.
+DOUBTFUL = frozenset(
+    "notice notices alert alerts aside rail related recommended recommendations menu menus share sharing "
+    "discussion responses replies reply respond side form search".split()
+)
+READERS = frozenset("comment comments commentlist disqus".split())
+#: A class that starts so tells what a part has beside it or inside, not what it is.
+HAVING = re.compile(r"(?:has|have|with|without|no|non|hide)[-_]", re.I)
+#: How sure it is that a node is apart: not at all, by a word with another sense, by a word, by readers, for certain.
+FREE, DOUBT, LIKELY, BY_READERS, GONE = range(5)
+#: Characters outside links from which a block counts as running text.
+PROSE = 80
 #: Words of page headers, cut off only outside the article itself.
 HEADERS = frozenset("header headers topbar".split())
 CLOSES_P = frozenset(
@@ -75,29 +89,117 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.dropped, self.article = ["body"], [-1], [False], [False]
+        self.doubt = [FREE]
         self.first, self.last = [0], [0]
         self.pieces: list[str] = []
         self.own: list[int] = [0]
         self._read(source)
+        self._settle()
 
-    def _apart(self, tag: str, attributes: str, in_article: bool) -> bool:
+    def _apart(self, tag: str, attributes: str, in_article: bool) -> int:
         if tag in DROPPED or (tag == "header" and not in_article):
-            return True
+            return GONE
+        found = LIKELY if tag == "form" else FREE
         if not attributes.strip():
-            return False
+            return found
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id"):
-                words = {w.lower() for w in SPLIT_WORDS.split(value)}
-                if words & APART or (words & HEADERS and not in_article and tag not in HEADINGS):
-                    return tag not in ("body", "html", "main", "article") or "comment" in words
+                for part in value.split():
+                    if not HAVING.match(part):
+                        found = max(found, self._named(tag, name, part, in_article))
             elif name == "role" and value.lower() in ROLES:
-                return True
+                return GONE
+            elif name == "role" and value.lower() == "form":
+                found = max(found, LIKELY)
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return True
+                return GONE
             elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                return GONE
+        return found
+
+    def _named(self, tag: str, name: str, part: str, in_article: bool) -> int:
+        words = {w.lower() for w in SPLIT_WORDS.split(part) if w}
+        apart = words & APART
+        if tag in ("body", "html", "main", "article"):
+            return BY_READERS if "comment" in words and apart else FREE
+        if apart & READERS:
+            return BY_READERS
+        if apart:
+            # an id of several words, as of "cookie-policy-in-europe", may be made from a heading
+            return DOUBT if apart <= DOUBTFUL or (name == "id" and words - APART) else LIKELY
+        return LIKELY if words & HEADERS and not in_article and tag not in HEADINGS else FREE
+
+    def _settle(self) -> None:
+        """Drop the candidates that their size, links or place confirm."""
+        n = len(self.tag)
+        self.cut: list[tuple[int, int]] = []
+        if not any(self.doubt):
+            return
+        linked, inside, readers = [False] * n, [False] * n, [False] * n
+        plain, links, mains = [0] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            linked[i] = linked[p] or self.tag[i] == "a"
+            readers[i] = readers[p] or self.doubt[i] == BY_READERS
+        for i in range(n - 1, -1, -1):
+            own = 0 if self.dropped[i] else self.own[i]
+            plain[i] += own * (not linked[i])
+            links[i] += own * linked[i]
+            mains[i] += self.tag[i] == "main" and not self.dropped[i] and not readers[i]
+            if i and not self.dropped[i]:
+                p = self.parent[i]
+                plain[p] += plain[i]
+                links[p] += links[i]
+                mains[p] += mains[i]
+        by_readers = sum(plain[i] for i in range(n) if readers[i] and not readers[self.parent[i]])
+        total = plain[0] - by_readers
+        articles = [i for i in range(n) if self.tag[i] == "article" and not self.dropped[i] and not readers[i]]
+        largest = max(articles, key=lambda i: plain[i], default=0)
+        holders = set()
+        if 4 * plain[largest] < total:
+            largest = 0
+        while largest:
+            holders.add(largest)
+            largest = self.parent[largest]
+        has_article = bool(mains[0] or articles)
+
+        def holds(i: int) -> bool:
+            if self.doubt[i] == BY_READERS:
+                # nothing but these on a page without an article: its text is what readers wrote
+                return not has_article and total < PROSE and plain[i] > plain[0] / 2
+            # beside an article, a short one too, an advert of a few lines is not most of the page
+            beside = has_article and not self.article[self.parent[i]] and not mains[i] and i not in holders
+            most = 2 * plain[i] > total and (not beside or plain[i] >= 10 * PROSE)
+            return most or bool(mains[i]) or i in holders
+
+        def prose(i: int) -> bool:
+            return plain[i] >= PROSE and plain[i] > links[i]
+
+        def stays(i: int) -> bool:
+            if self.tag[i] in HEADINGS:
                 return True
-        return False
+            return self.doubt[i] == DOUBT and (prose(i) or (self.tag[i] == "section" and plain[i] > links[i]))
+
+        candidates = [i for i in range(1, n) if self.doubt[i] and not self.dropped[i]]
+        held = {i for i in candidates if holds(i) or (self.doubt[i] == DOUBT and prose(i) and 4 * plain[i] >= total and not has_article)}
+        hard = list(self.dropped)
+
+        def decide(core: int | None) -> None:
+            for i in range(1, n):
+                p = self.parent[i]
+                inside[i] = inside[p] or i == core
+                within = self.article[p] or inside[p]
+                gone = bool(self.doubt[i]) and i not in held and not (core is not None and within and stays(i))
+                self.dropped[i] = hard[i] or self.dropped[p] or gone
+
+        decide(None)
+        if any(i for i in candidates if i not in held and stays(i)):
+            _, sums, _ = self.densities()
+            core = max(range(n), key=lambda i: (sums[i], -i))
+            inside[0] = not core
+            decide(core)
+        self.cut = [(self.first[i], self.last[i]) for i in candidates if self.dropped[i] and not self.dropped[self.parent[i]]]
 
     def _read(self, source: str) -> None:
         stack, opened, at, break_ = [0], Counter(["body"]), 0, " "
@@ -175,7 +277,9 @@ class Page:
         within = self.article[parent]
         self.tag.append(tag)
         self.parent.append(parent)
-        self.dropped.append(self.dropped[parent] or self._apart(tag, attributes, within))
+        doubt = GONE if self.dropped[parent] else self._apart(tag, attributes, within)
+        self.dropped.append(doubt == GONE)
+        self.doubt.append(FREE if doubt == GONE else doubt)
         self.article.append(within or tag in ("article", "main"))
         self.first.append(at)
         self.last.append(at)
@@ -245,7 +349,12 @@ def extract(source: str | None) -> str:
         return ""
     page = Page(source)
     low, high = page.main_range()
-    return " ".join("".join(page.pieces[low:high]).split())
+    kept, at = [], low
+    for start, end in page.cut:
+        if low <= start and end <= high:
+            kept += page.pieces[at:start]
+            at = end
+    return " ".join("".join(kept + page.pieces[at:high]).split())
 
 
 def main_text(source: Column) -> Column:

@@ -124,6 +124,44 @@ def test_main_text(body, text):
     assert html_text.extract(PAGE.replace("@", body)) == text
 
 
+LONG = "This sentence of the article is long enough to be read as running text, and one more follows it here. "
+TAIL = "<p>" + LONG * 4 + "</p>"
+
+
+@pytest.mark.parametrize("body", [
+    "<div class='content has-sidebar'><h1>T</h1>@</div>",
+    "<div class='layout sidebar-right'><h1>T</h1>@</div>",
+    "<div class='modalPage'><main><h1>T</h1>@</main></div>",
+    "<form id='aspnetForm' action='x'><div><h1>T</h1>@</div><input></form>",
+    "<form><article><h1>T</h1>@</article></form>",
+    "<article><h1>T</h1>@<section id='discussion'><h2>D</h2><p>short</p></section></article>",
+    "<article><h1>T</h1>@<h2 id='related-work'>Related work</h2><p>short</p></article>",
+    "<article><h1>T</h1>@<div id='side-effects'><h2>S</h2>@</div><p id='share-price'>" + LONG + "</p></article>",
+    "<article><h1>T</h1>@<section id='search'><p>s</p></section><section class='menu'><p>m</p></section></article>",
+    "<div id='post'><h1>T</h1>@@<section id='response-form'><h2>R</h2>@</section></div>",
+])
+def test_names_alone_drop_no_article_text(body):
+    body = body.replace("@", TAIL)
+    want = " ".join(re.sub(r"<[^>]*>", " ", body).split())
+    assert html_text.extract(PAGE.replace("@", body)) == want
+    assert html_text.extract(f"<html><body>{body}</body></html>") == want
+
+
+@pytest.mark.parametrize("junk", [
+    "<div class='share'>Share this</div>", "<div class='related'><a href='a'>" + LONG + "</a></div>", "<div class='ad-slot'>" + LONG + "</div>",
+    "<section id='comments'>" + TAIL * 9 + "</section>", "<ol class='commentlist'><li><article class='comment'>" + TAIL + "</article></ol>",
+    "<form><p>" + LONG + "</p></form>", "<div class='newsletter'><h2>News</h2>" + LONG + "</div>", "<section class='related'><a href='a'>x</a></section>",
+])
+def test_confirmed_names_are_dropped(junk):
+    want = " ".join(("T " + LONG * 8).split())
+    assert html_text.extract(PAGE.replace("@", "<article><h1>T</h1>" + TAIL + junk + TAIL + "</article>")) == want
+    assert html_text.extract(PAGE.replace("@", "<div id='post'><h1>T</h1>" + TAIL + TAIL + "</div>" + junk)) == want
+
+
+def test_an_advert_longer_than_the_article_goes():
+    assert html_text.extract(f"<div class='ad'>{LONG}</div><article><h1>T</h1><p>short</article>") == "T short"
+
+
 def test_main_text_rows(spark):
     data = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p>plain", "x"), (3, "u", "<p>plain", "x"), (4, "u", "<script>x", "x"), (5, "u", "a < b <a '", "x")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, text string")
