@@ -7,8 +7,9 @@ and inside the article if it is a heading or, under a word that an article may b
 running text that is not mostly links. Every remaining node gets its composite text density: characters per tag, adjusted for the share of
 linked characters and tags and for the share of links in the body. The node whose children's densities sum
 highest is the core; the lowest density on its path to the body is the threshold, and every part of the page
-at or above it belongs to the text, together with the headings and short blocks of the article element that
-holds the core. Densities only choose the subtree; nothing inside it is dropped for being short.
+at or above it belongs to the text, on pages with an article element too. That element adds the headings and
+blocks around the core. Between the dense parts only lists of links below the threshold are left out; nothing is
+dropped for being short.
 
 Defined results: a null, empty or text-free page gives an empty text. References are decoded as in HTML 5,
 white space becomes one space, blocks join by one space. Unclosed and misnested tags are closed as browsers
@@ -314,6 +315,20 @@ class Page:
                 sums[self.parent[i]] += density[i]
         return density, sums, chars
 
+    def links(self) -> tuple[list[int], list[int]]:
+        """Characters in links and number of links of each node."""
+        n = len(self.tag)
+        linked, links, in_link = [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = in_link[self.parent[i]] or self.tag[i] == "a"
+        for i in range(n - 1, 0, -1):
+            if not self.dropped[i]:
+                linked[i] += self.own[i] * in_link[i]
+                links[i] += self.tag[i] == "a"
+                linked[self.parent[i]] += linked[i]
+                links[self.parent[i]] += links[i]
+        return linked, links
+
     def main_range(self) -> tuple[int, int]:
         """The run of pieces that is the article."""
         density, sums, chars = self.densities()
@@ -327,20 +342,28 @@ class Page:
             path.append(self.parent[path[-1]])
             on_path.add(path[-1])
         threshold = min(density[i] for i in path)
+        # the core grows to the lowest run of the page that holds all dense parts
+        low, high = self.first[core], self.last[core]
+        beside = [i for i in range(1, len(density)) if self.parent[i] in on_path and i not in on_path and chars[i] and not self.dropped[i]]
+        beside = [i for i in beside if self.parent[i] != core]
+        for i in beside:
+            if density[i] >= threshold:
+                low, high = min(low, self.first[i]), max(high, self.last[i])
         holder = next((i for i in reversed(path) if self.tag[i] == "article"), None)
         if holder is None:
             holder = next((i for i in reversed(path) if self.tag[i] == "main"), None)
         if holder is not None:
-            return self.first[holder], self.last[holder]
-        # without an article element: the core grows to the lowest ancestor that holds all dense parts
-        low, high = self.first[core], self.last[core]
-        for i in range(1, len(density)):
-            if self.parent[i] in on_path and density[i] >= threshold and chars[i] and not self.dropped[i]:
-                low, high = min(low, self.first[i]), max(high, self.last[i])
-        for i in range(1, len(density)):
-            if self.tag[i] in HEADINGS and self.parent[i] in on_path and self.last[i] <= low and chars[i]:
-                low = min(low, self.first[i])
-                break
+            # headings and short blocks of the element around the core
+            low, high = min(low, self.first[holder]), max(high, self.last[holder])
+        else:
+            for i in beside:
+                if self.tag[i] in HEADINGS and self.last[i] <= low:
+                    low = min(low, self.first[i])
+                    break
+        # lists of links in that run which the densities did not choose
+        linked, links = self.links()
+        self.cut += [(self.first[i], self.last[i]) for i in beside if density[i] < threshold and links[i] > 2 and 2 * linked[i] > chars[i]]
+        self.cut.sort()
         return low, high
 
 
@@ -353,7 +376,7 @@ def extract(source: str | None) -> str:
     for start, end in page.cut:
         if low <= start and end <= high:
             kept += page.pieces[at:start]
-            at = end
+            at = max(at, end)
     return " ".join("".join(kept + page.pieces[at:high]).split())
 
 

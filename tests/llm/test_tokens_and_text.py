@@ -162,6 +162,16 @@ def test_an_advert_longer_than_the_article_goes():
     assert html_text.extract(f"<div class='ad'>{LONG}</div><article><h1>T</h1><p>short</article>") == "T short"
 
 
+@pytest.mark.parametrize("outer", ["@", "<div>@</div>", "<main>@</main>"])
+def test_densities_choose_on_pages_with_articles_too(outer):
+    links = "<ul>" + "".join(f"<li><a href='{i}'>go to place {i}</a></li>" for i in range(9)) + "</ul>"
+    first, second = f"<article><h1>One</h1>{TAIL}{TAIL}</article>", f"<article><h2>Two</h2>{TAIL}<p>short</p></article>"
+    want = " ".join(f"One {LONG * 8} Two {LONG * 4} short".split())
+    assert html_text.extract(PAGE.replace("@", outer.replace("@", first + links + second))) == want
+    inner = f"<article><h1>T</h1><p>by x</p><div class='text'>{TAIL}{TAIL}</div><p>end</p></article>"
+    assert html_text.extract(PAGE.replace("@", outer.replace("@", inner))) == " ".join(f"T by x {LONG * 8} end".split())
+
+
 def test_main_text_rows(spark):
     data = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p>plain", "x"), (3, "u", "<p>plain", "x"), (4, "u", "<script>x", "x"), (5, "u", "a < b <a '", "x")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, text string")
