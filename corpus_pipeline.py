@@ -9,10 +9,12 @@ from palimpsest.llm import decontaminate, mixing, near_dup, token_store, toxicit
 from palimpsest.llm.common import table, written
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``gone``; rows without a number stay."""
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for each row, and that column's name; written, so it never changes."""
+    key = "_row_key"
+    while key in docs.columns:
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,20 +26,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; of repeated rows one stays."""
-    found = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    kept = _without(docs, found.where(~F.col("kept")))
-    again = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
-    if not again.limit(1).count():
-        return kept
-    repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return _without(kept, again).unionByName(repeated)
+    """The row with the lowest doc_id of each near-duplicate group; of repeated rows one stays."""
+    keyed, key = _keyed(docs)
+    found = near_dup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"))
+    names = keyed.select(F.col(key).alias("_k"), F.col("doc_id").alias("_doc"), F.sha2("text", 256).alias("_text"))
+    rows = found.select(F.col("doc_id").alias("_k"), "component_id", "n_shingles").join(names, "_k")
+    # texts without a word are alone in their groups: of them only repeated rows go
+    empty = F.col("n_shingles") == 0
+    group = [F.when(~empty, F.col("component_id")), F.when(empty, F.col("_doc")), F.when(empty, F.col("_text"))]
+    first = F.min(F.struct(F.col("_doc").isNull(), "_doc", "_text", "_k"))["_k"]
+    kept = rows.groupBy(empty, *group).agg(first.alias(key)).select(key)
+    return keyed.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    keyed, key = _keyed(docs)
     items = decontaminate.item_parts(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return _without(docs, decontaminate.leaks(docs.select("doc_id", "text"), items))
+    gone = decontaminate.leaks(keyed.select(F.col(key).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

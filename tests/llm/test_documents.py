@@ -346,6 +346,22 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r["doc_id"] for r in stage(spark, twice, SMALL).collect()) == want
 
 
+def test_stages_decide_per_row(spark):
+    """Rows that share a doc_id, or have none, are judged by their own texts."""
+    rng = random.Random(21)
+    one, two, three, four = (" ".join(words(rng, 60)) for _ in range(4))
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(1, one), (2, one), (2, two), (None, three), (None, three), (None, four), (3, ""), (3, ""), (4, ""), (5, None), (5, None)]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, SMALL).collect()
+    assert sorted(map(tuple, got), key=order) == sorted([(1, one), (2, two), (None, three), (None, four), (3, ""), (4, ""), (5, None)], key=order)
+    rows = [(1, f"{one} {item}"), (1, two), (None, item), (None, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, SMALL).collect()
+    assert sorted(map(tuple, got), key=order) == [(1, two), (None, three)]
+
+
 def test_stages_keep_columns_with_clashing_names(spark):
     from pyspark.sql import functions as F
 
