@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import archives, chat, decontaminate, fingerprints, html_text, mixing, toxicity
-from palimpsest.llm import near_dup
+from palimpsest.llm import archives, chat, decontaminate, exact_dups, fingerprints, html_text, mixing, toxicity
+from palimpsest.llm import near_dup, periodic, variants
 from palimpsest.llm import token_counts as counts
 from palimpsest.llm import token_store as store
 from palimpsest.llm.common import table
@@ -69,6 +71,42 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, labels, toxicity.CATEGORIES, "toxic").drop("text")
 
 
+def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dups.exact_duplicates(
+        docs.withColumn("text_sha256", F.sha2(exact_dups.folded(F.col("text")), 256)), carry=["text_sha256"]
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.spelling_variants(variants.vocabulary(docs, edit=variants.planted))
+
+
+def looped(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The words of which a document with planted repetition consists; None where none is planted."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not n or doc_id is None:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), edit=looped)
+    order = F.expr("transform(runs, r -> struct(-r.length as less, r.start as start, r.period as period, r.length as length))")
+    best = F.array_min(order)
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
@@ -96,6 +134,11 @@ c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)"""
 
 
+_EXACT_SQL = """WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY t)"""
+
+
 def llm_oracles() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op4_archives": _ARCHIVES_SQL, "op8_near_duplicates": _NEAR_SQL}
+    return {"op4_archives": _ARCHIVES_SQL, "op8_near_duplicates": _NEAR_SQL, "op11_exact_duplicates": _EXACT_SQL}
