@@ -16,6 +16,8 @@ from palimpsest.session import settle
 from palimpsest.settings import Settings
 
 _MARK = "\u0001"
+#: Where a block belongs: session, seq of its compaction, kind (summary, raw, tool), place.
+ORDER = ["session", "_seq", "_kind", "_place"]
 
 
 def _facts(compactions: DataFrame) -> DataFrame:
@@ -44,6 +46,19 @@ def compaction_records(
     ``compactions``: session, compaction_id, seq, time_ms, turn, seq_start, seq_end,
     shadowed_tokens, text. Raw and tool blocks come from the compaction's own seq range.
     """
+    inside = None
+    if settings.ingestRawText:
+        inside = in_ranges(events, compactions.select("session", "compaction_id", "seq_start", "seq_end"))
+    return finished(ingest_rows(inside, compactions, settings)).select(*RECORD_COLUMNS)
+
+
+def ingest_rows(
+    inside: DataFrame | None, compactions: DataFrame, settings: Settings = Settings()
+) -> DataFrame:
+    """Blocks of every compaction in any order; ``ORDER`` says where each belongs.
+
+    ``inside``: the events of each compaction's range with its session and compaction_id.
+    """
     facts = _facts(compactions)
     none = F.lit(None).cast("string")
     parts = []
@@ -53,10 +68,7 @@ def compaction_records(
             "src": none, "tool": none, "_own_seq": F.lit(None).cast("bigint"), "_named": none,
         }))
     if settings.ingestRawText:
-        inside = settle(
-            in_ranges(events, compactions.select("session", "compaction_id", "seq_start", "seq_end"))
-            .withColumn("_key", F.concat_ws(_MARK, "session", "compaction_id"))
-        )
+        inside = settle(inside.withColumn("_key", F.concat_ws(_MARK, "session", "compaction_id")))
         spoken = inside.drop("session").withColumnRenamed("_key", "session")
         raw = raw_blocks(
             conversation_turns(spoken), "session", settings.maxRawCharsPerCompaction
@@ -92,12 +104,18 @@ def compaction_records(
     rows = rows.join(facts, "_key").withColumns({
         "seq_start": F.coalesce("_own_seq", "seq_start"), "seq_end": F.coalesce("_own_seq", "seq_end"),
     }).where(~K.is_blank(F.col("text")))
+    return rows
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with an ``ord`` that follows ``ORDER``, settled because later steps join on it."""
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["session", "_seq", "_kind", "_place"]
-    placed = settle(
-        rows.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    return settle(
+        rows.repartitionByRange(width, *ORDER).sortWithinPartitions(*ORDER)
         .withColumn("ord", F.monotonically_increasing_id())
     )
-    return finish_records(placed, title_from="_from").withColumn(
-        "title", F.coalesce("_named", "title")
-    ).select(*RECORD_COLUMNS)
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """Numbered records with title, keywords and fingerprint; the order columns stay."""
+    return finish_records(numbered(rows), title_from="_from").withColumn("title", F.coalesce("_named", "title"))

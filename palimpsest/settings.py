@@ -36,6 +36,7 @@ class Settings:
     dedupe: bool = True
     preferSummaryChunks: bool = True
     includeToolResults: bool = True
+    includePrune: bool = False
     trashEnabled: bool = True
     trashAutoPurgeEnabled: bool = True
     compactionRecapMaxTokens: int = 300
