@@ -6,7 +6,7 @@
    and hashed (SHA-256 of the normalised text); the others are alone and pass without a shuffle.
 4. Survivors are grouped by the full hash and looked up in the groups of more than one row.
 
-Which rows survive a step is told by a bitmap of bounded size (``MAX_BITS``) that every task gets: a set bit of
+Which rows survive a step is told by a bitmap of bounded size (``marks.MAX_BITS``) that every task gets: a set bit of
 another key lets a row through that the next step then finds alone, so it costs time, never a wrong answer. Texts
 themselves are never shuffled. A group with a thousandth of the survivors or more is joined from a broadcast of
 at most a thousand such groups, the rest by a shuffle, so that no copied text fills one task.
@@ -21,16 +21,13 @@ from __future__ import annotations
 import string
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import written
+from palimpsest.llm.marks import MAX_BITS, Marks
 
 HEAD = 64
-MAX_BITS = 1 << 28
-BITS_PER_KEY = 16
 HOT_SHARE = 1000
 RESULTS = ("keep_id", "group_size", "kept")
 
@@ -40,34 +37,6 @@ def folded(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-class Marks:
-    """A bounded bitmap of 64-bit keys, built by Spark and sent to every task; ``may_hold`` has no misses."""
-
-    def __init__(self, keys: DataFrame, column: str, max_bits: int = MAX_BITS) -> None:
-        count = keys.count()
-        self.bits = 1 << 12
-        while self.bits < min(max_bits, BITS_PER_KEY * count):
-            self.bits *= 2
-        slot = F.pmod(F.col(column), F.lit(self.bits))
-        words = (
-            keys.select((slot / 64).cast("long").alias("word"), F.expr("1L").alias("one"), (slot % 64).cast("int").alias("bit"))
-            .groupBy("word").agg(F.expr("bit_or(shiftleft(one, bit))").alias("set")).toPandas()
-        )
-        held = np.zeros(self.bits // 64, np.int64)
-        held[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
-        self.sent = keys.sparkSession.sparkContext.broadcast(held)
-
-    def may_hold(self, key: Column) -> Column:
-        sent, bits = self.sent, self.bits
-
-        @F.pandas_udf("boolean")
-        def test(keys: pd.Series) -> pd.Series:
-            slot = keys.to_numpy(np.int64) % bits
-            return pd.Series((sent.value[slot >> 6] >> (slot & 63)) & 1 == 1)
-
-        return test(key)
-
-
 def exact_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = (), max_bits: int = MAX_BITS,
     hot_share: int = HOT_SHARE,

@@ -9,8 +9,8 @@ when 100 * |intersection| >= 75 * |union|.
    element; step j of all elements of all documents of a batch runs as one array operation, and a document
    stops as soon as its largest component is below the next rank.
 2. *Classes*: equal sets collapse to one class, however many copies there are.
-3. *Candidates*: every band bucket links its members to its smallest member: at most 48 edges per class,
-   never all pairs. A pair at the threshold shares no bucket with probability (1 - 0.75^5)^48 < 3e-6. The
+3. *Candidates*: a class is linked with the smallest of the hubs (smallest members) of its band buckets, and
+   those hubs with each other: at most 48 links per class, never all pairs. A pair at the threshold shares no bucket with probability (1 - 0.75^5)^48 < 3e-6. The
    connected components of these edges contain every true group.
 4. *Verification*: a candidate component is read once and its links are decided on full sets. A row of the
    overlap matrix (one set against all) is computed for the most central sets first; sets in the largest
@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import shuffle_width, written
+from palimpsest.llm.marks import Marks
 
 WORDS = 5
 BANDS = 48
@@ -41,6 +42,7 @@ ROWS = 5
 COMPONENTS = BANDS * ROWS
 GROUP_SHINGLES = 2_000_000
 PIVOTS = 16
+HOT_SHARE = 1000
 BATCH_ELEMENTS = 60_000
 WORD_ENTRIES = 300_000
 
@@ -122,14 +124,20 @@ def digest(values: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(values.tobytes())
 
 
+def printed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, print and text of every row; (doc_id, print) finds a text again."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("print"), "text")
+
+
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, digest and band hashes of every row."""
+    """doc_id, print (a hash of the text), n_shingles, digest and band hashes of every row."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.seterr(over="ignore")
         hashes = WordHashes()
 
-        def rows(keys, sets):
+        def rows(keys, prints, sets):
             sizes = np.array([len(s) for s in sets])
             full = np.flatnonzero(sizes)
             bands = np.empty((0, BANDS), np.int64)
@@ -140,49 +148,56 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
             for at, i in enumerate(full):
                 each[i] = bands[at]
             return pd.DataFrame({
-                "doc_id": pd.array(keys, dtype="Int64"), "n_shingles": sizes.astype(np.int64),
+                "doc_id": pd.array(keys, dtype="Int64"), "print": prints, "n_shingles": sizes.astype(np.int64),
                 "digest": [digest(s) if len(s) else None for s in sets], "bands": each,
             })
 
         for batch in batches:
-            keys, sets, held = [], [], 0
-            for k, t in zip(batch["doc_id"], batch["text"]):
+            keys, prints, sets, held = [], [], [], 0
+            for k, p, t in zip(batch["doc_id"], batch["print"], batch["text"]):
                 s = shingle_set(t, hashes)
                 keys.append(None if pd.isna(k) else int(k))
+                prints.append(p)
                 sets.append(s)
                 held += len(s)
                 if held >= BATCH_ELEMENTS:
-                    yield rows(keys, sets)
-                    keys, sets, held = [], [], 0
+                    yield rows(keys, prints, sets)
+                    keys, prints, sets, held = [], [], [], 0
             if keys:
-                yield rows(keys, sets)
+                yield rows(keys, prints, sets)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(
-        of, "doc_id long, n_shingles long, digest binary, bands array<long>"
+    return printed(docs, key, text).mapInPandas(
+        of, "doc_id long, print long, n_shingles long, digest binary, bands array<long>"
     )
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node of (a, b) with the smallest node that it is connected with.
 
-    Smallest labels spread along edges and along the labels themselves, so chains shorten by halves. Every
-    round is written to the shared folder; only a count reaches the driver.
+    Every round merges each node with the neighbour (or itself) that a fresh pseudorandom order puts first and
+    replaces the links by those between the merged nodes, without loops and repeats, so links shrink to none
+    in a logarithmic number of rounds whatever the numbering. Every round is written to the shared folder;
+    only a count reaches the driver.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.union(edges.select("a", F.col("a").alias("b"))).union(edges.select(F.col("b").alias("a"), "b")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "labels")
-    while True:
-        near = (
-            both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("label"))
-            .select(F.col("a").alias("node"), "label")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    at = written(nodes.withColumn("at", F.col("node")), "nodes")
+    links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    turn = 0
+    while links.limit(1).count():
+        turn += 1
+        first = F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("to"))
+        itself = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("to"))
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        merged = written(both.groupBy("a").agg(F.min(first).alias("n")).select(F.col("a").alias("old"), F.least("n", itself)["to"].alias("to")), "merged")
+        ends = links.join(merged.select(F.col("old").alias("a"), F.col("to").alias("x")), "a").join(
+            merged.select(F.col("old").alias("b"), F.col("to").alias("y")), "b"
+        )
+        links = written(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        at = written(
+            at.join(merged, at["at"] == merged["old"], "left").select("node", F.coalesce("to", "at").alias("at")), "nodes"
         )
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = near.join(far, "label").select("node", F.least("label", "next").alias("label"))
-        new = written(jumped, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") < F.col("old")).limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    label = at.groupBy("at").agg(F.min("node").alias("label"))
+    return at.join(label, "at").select("node", "label")
 
 
 class Overlaps:
@@ -345,10 +360,10 @@ def large_groups(members: DataFrame, sizes: DataFrame, degree: DataFrame, limit:
         "members",
     )
     best = (
-        degree.join(rows.select("cid", "comp").distinct(), "cid").groupBy("comp")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "cid")), asc=False), 1, PIVOTS).alias("top"))
-        .select("comp", F.explode("top").alias("p")).select("comp", F.col("p.cid").alias("cid"))
-    ) if PIVOTS else None
+        degree.join(rows.select("cid", "comp").distinct(), "cid")
+        .withColumn("rank", F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("n"), "cid")))
+        .where(F.col("rank") <= PIVOTS).select("comp", "cid")
+    )
     plain = ["comp", "ask", "block", "asking", "cid", "digest", "text"]
     pivots = rows.join(best, ["comp", "cid"])
     asked = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -377,33 +392,60 @@ def large_groups(members: DataFrame, sizes: DataFrame, degree: DataFrame, limit:
     return components(first.union(second).union(loops)).select(F.col("node").alias("cid"), F.col("label").alias("root"))
 
 
+def band_edges(classes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what shares a band bucket: each class with its smallest hub, and the hubs that
+    one class names with each other. A hub is the smallest class of a bucket; a class has at most 48."""
+    in_bands = classes.select("cid", F.explode("bands").alias("band"))
+    hubs = in_bands.groupBy("band").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub < last").select("band", "hub")
+    named = in_bands.join(hubs, "band").groupBy("cid").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))
+    each = named.select("cid", F.col("hubs")[0].alias("b"), F.explode("hubs").alias("hub"))
+    return (
+        each.select(F.when(F.col("hub") == F.col("b"), F.col("cid")).otherwise(F.col("hub")).alias("a"), "b")
+        .where("a <> b").distinct()
+    )
+
+
+def candidate_texts(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """One text per (doc_id, print) of a candidate class; the texts of the others stay where they are."""
+    wanted = Marks(known.select(F.xxhash64("first_doc", "print").alias("mark")), "mark").may_hold(F.col("mark"))
+    marked = texts.withColumn("mark", F.xxhash64("doc_id", "print")).where(wanted)
+    return marked.groupBy("doc_id", "print").agg(F.first("text").alias("text"))
+
+
+def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` joined with ``classes`` on digest; the at most ``HOT_SHARE`` classes with that share of all rows
+    are sent to every task, so no task gets all copies of a text."""
+    least = max(2, -(-rows.count() // HOT_SHARE))
+    hot = F.broadcast(classes.where(F.col("rows") >= least).drop("rows"))
+    rest = rows.join(hot.select("digest"), "digest", "left_anti").join(classes.where(F.col("rows") < least).drop("rows"), "digest")
+    return rows.join(hot, "digest").unionByName(rest)
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", group_shingles: int = GROUP_SHINGLES
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     sketched = written(sketch(docs, key, text), "sketch")
     full = sketched.where("n_shingles > 0")
+    # nulls last, so that a class is named by a number if it has one
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "print"))
     classes = written(
         full.groupBy("digest").agg(
-            F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
-        ).withColumn("cid", F.monotonically_increasing_id()),
+            first.alias("first"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
+        ).select("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.print").alias("print"), "rows", "n_shingles", "bands")
+        .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    in_bands = classes.select("cid", F.explode("bands").alias("band"))
-    hubs = in_bands.groupBy("band").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub < last").select("band", "hub")
-    edges = written(
-        in_bands.join(hubs, "band").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(),
-        "edges",
-    )
+    edges = written(band_edges(classes), "edges")
     comps = components(edges).select(F.col("node").alias("cid"), F.col("label").alias("comp"))
-    known = written(classes.drop("bands").join(comps, "cid"), "candidates")
-    texts = docs.select(F.col(key).cast("long").alias("first_doc"), F.col(text).cast("string").alias("text"))
+    known = written(classes.drop("bands", "rows").join(comps, "cid"), "candidates")
     total = known.groupBy("comp").agg(F.sum("n_shingles").alias("total"))
     large = total.where(F.col("total") > group_shingles)
     has_large = large.limit(1).count() > 0
     sized = known.join(total, "comp") if has_large else known
     small = sized.where(F.col("total") <= group_shingles) if has_large else sized
-    on = F.col("k.first_doc").eqNullSafe(F.col("t.first_doc"))
+    texts = candidate_texts(printed(docs, key, text), known)
+    on = F.col("k.first_doc").eqNullSafe(F.col("t.doc_id")) & (F.col("k.print") == F.col("t.print"))
 
     def members(part: DataFrame) -> DataFrame:
         # candidates have no proven bound, so their side is shuffled, never sent to every task
@@ -417,11 +459,14 @@ def near_duplicates(
     roots = written(roots, "roots")
     named = classes.select("digest", "cid", "first_doc").join(roots, "cid")
     least = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_class = named.join(least, "root").select("digest", "component_id")
-    alone = classes.select("digest", "first_doc").join(by_class, "digest", "left")
-    final = alone.select("digest", F.coalesce("component_id", "first_doc").alias("component_id"))
-    return (
-        sketched.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    by_class = named.join(least, "root").select("cid", "component_id")
+    final = written(
+        classes.select("digest", "rows", "first_doc", "cid").join(by_class, "cid", "left")
+        .select("digest", "rows", F.coalesce("component_id", "first_doc").alias("component_id")),
+        "final",
+    )
+    found = with_class(full.select("doc_id", "n_shingles", "digest"), final)
+    alone = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id").union(alone).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

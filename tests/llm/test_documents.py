@@ -75,6 +75,49 @@ def test_near_duplicates(spark, limit):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("limit", [near_dup.GROUP_SHINGLES, 400])
+def test_near_duplicates_without_numbers(spark, limit):
+    """Rows without doc_id, or with one doc_id, meet their own texts only."""
+    rng = random.Random(9)
+    base = words(rng, 100)
+    pairs = [(None if i < 400 else 7, " ".join([*base[:-1], f"z{i}"])) for i in range(420)] + [(None, None), (None, ""), (7, "a b")]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    got = near_dup.near_duplicates(docs, group_shingles=limit).collect()
+    assert sorted((r["doc_id"] is None, r["n_shingles"], r["component_id"] is None) for r in got) == sorted(
+        (k is None, len(shingle_set(t)), not shingle_set(t) and k is None) for k, t in pairs
+    )
+    texts = near_dup.candidate_texts(near_dup.printed(docs, "doc_id", "text"), near_dup.printed(docs.limit(20), "doc_id", "text").withColumnRenamed("doc_id", "first_doc"))
+    assert 20 <= texts.count() < 30  # a text whose bit another one set may come too
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "hubs"])
+def test_components(spark, shape):
+    n = 3000
+    links = {
+        "chain": [(i, i + 1) for i in range(n)], "star": [(0, i) for i in range(1, n)],
+        "hubs": [(i, i % 40) for i in range(n)] + [(i, i + 20) for i in range(20)],
+    }[shape]
+    up = list(range(n + 1))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    rng = random.Random(1)
+    name = rng.sample(range(10**6), n + 1)
+    least = {}
+    nodes = {x for ab in links for x in ab}
+    for x in nodes:
+        least[find(x)] = min(name[x], least.get(find(x), 10**9))
+    got = near_dup.components(spark.createDataFrame([(name[a], name[b]) for a, b in links], "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((name[x], least[find(x)]) for x in nodes)
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
