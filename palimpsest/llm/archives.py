@@ -174,6 +174,8 @@ def index_arc(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 rows = [(path, at, capture(f, b)) for at, f, b in parse_arc(gzip.decompress(content))]
+                if not rows:
+                    continue  # a file may hold its header only
                 yield pd.DataFrame({
                     "path": [r[0] for r in rows], "offset": [r[1] for r in rows],
                     "page_id": pd.array([r[2]["page_id"] for r in rows], dtype="Int64"),
@@ -263,6 +265,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                         h["warc-type"], size, digest.hex(),
                         int(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None, payload,
                     ))
+                if not rows:
+                    continue
                 out = pd.DataFrame(rows, columns=["page_id", "url", "date", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
                 out[["page_id", "refers_to"]] = out[["page_id", "refers_to"]].astype("Int64")
                 yield out if with_payload else out.drop(columns="payload")
