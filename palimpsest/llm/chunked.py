@@ -25,6 +25,8 @@ CHUNK = re.compile(
     f" ?[{LATIN}]++(?=[.,;:!? \n]|\\Z)|[.,;:!?]++(?=[ \n]|\\Z)|\n(?=[^{SPACES}])|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+"
 )
 UNSURE = "᠎"
+#: Chunks of a text with that character: cut only where white space begins whichever way it is read.
+UNSURE_CHUNK = re.compile(f"[{SPACES}{UNSURE}]*[^{SPACES}{UNSURE}]+(?:{UNSURE}[{SPACES}{UNSURE}]*(?:[^{SPACES}{UNSURE}]+|\\Z))*|[{SPACES}{UNSURE}]+")
 MEMO_ENTRIES = 600_000
 ID_ENTRIES = 300_000
 RUN = 500

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from palimpsest.llm.chunked import CHUNK, SPACES, UNSURE, Memo, load_tokenizer, slices, split_unseen, tokenizer_path
+from palimpsest.llm.chunked import CHUNK, SPACES, UNSURE, UNSURE_CHUNK, Memo, load_tokenizer, slices, split_unseen, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 PAIR_ENTRIES = 400_000
@@ -67,7 +67,8 @@ class PrefixCounter:
         # prefix -> (last token, open count, closed count, closed counts of all its prefixes)
         self.states: dict[str, tuple[str, int, int, bytes]] = {}
         self.beyond = re.compile("<\\||[^\\x00-\xd6\xd8-\xf6\xf8-\xff]")
-        self.lead = re.compile(f"[{SPACES}]*")  # becomes one space
+        # what the vocabulary's own normalizer folds; a run becomes one space
+        self.fold = re.compile(f"[{SPACES}{UNSURE if len(self.tokenizer.normalizer.normalize_str(f'a{UNSURE} a')) == 3 else ''}]+")
         # a run of Latin letters with marks behind it: two pieces, whatever stands around them
         self.simple = re.compile(f"([{SPACES}]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -198,9 +199,8 @@ class PrefixCounter:
         # normalization lowers each code point alone; a code point may become several
         sizes = [len(self.tokenizer.normalizer.normalize_str(ch)) for ch in chunk]
         norm = self.tokenizer.normalizer.normalize_str(chunk)
-        space = len(self.lead.match(chunk).group())
-        if space > 1:
-            sizes[1:space] = [0] * (space - 1)
+        for run in self.fold.finditer(chunk):
+            sizes[run.start() : run.end()] = [1] + [0] * (len(run.group()) - 1)
         at = np.zeros(len(norm) + 1, np.int64)
         done = 0
         for piece, (lo, hi) in self._pieces(norm):
@@ -232,7 +232,7 @@ class PrefixCounter:
         return [stored for some in slices(texts) for stored in self._steps(some)]
 
     def _steps(self, texts: list[str | None]) -> list[bytes]:
-        cut = [CHUNK.findall(self.plain(t)) if t and UNSURE not in t else [t] if t else [] for t in texts]
+        cut = [CHUNK.findall(self.plain(t)) if t and UNSURE not in t else UNSURE_CHUNK.findall(t or "") for t in texts]
         passing, lasting = split_unseen(set().union(*cut), memo := self.memo)
         for chunk in lasting:
             self._remember(chunk, memo)
