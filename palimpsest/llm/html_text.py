@@ -54,6 +54,8 @@ DOUBTFUL = frozenset(
     "discussion responses replies reply respond side form search".split()
 )
 READERS = frozenset("comment comments commentlist disqus".split())
+#: Beside a word of ``READERS`` these tell of a state or a kind of page, not of a list of comments.
+STATES = frozenset("open opened closed off on enabled disabled allowed count single page status".split())
 #: A class that starts so tells what a part has beside it or inside, not what it is.
 HAVING = re.compile(r"(?:has|have|with|without|no|non|hide)[-_]", re.I)
 #: How sure it is that a node is apart: not at all, by a word with another sense, by a word, by readers, for certain.
@@ -121,6 +123,8 @@ class Page:
 
     def _named(self, tag: str, name: str, part: str, in_article: bool) -> int:
         words = {w.lower() for w in SPLIT_WORDS.split(part) if w}
+        if words & READERS and (words & STATES or tag in ("pre", "code")):
+            words -= READERS
         apart = words & APART
         if tag in ("body", "html", "main", "article"):
             return BY_READERS if "comment" in words and apart else FREE
@@ -138,7 +142,7 @@ class Page:
         if not any(self.doubt):
             return
         linked, inside, readers = [False] * n, [False] * n, [False] * n
-        plain, links, mains = [0] * n, [0] * n, [0] * n
+        plain, links, mains, tops = [0] * n, [0] * n, [0] * n, [0] * n
         for i in range(1, n):
             p = self.parent[i]
             linked[i] = linked[p] or self.tag[i] == "a"
@@ -148,8 +152,10 @@ class Page:
             plain[i] += own * (not linked[i])
             links[i] += own * linked[i]
             mains[i] += self.tag[i] == "main" and not self.dropped[i] and not readers[i]
+            tops[i] += self.tag[i] == "h1"
             if i and not self.dropped[i]:
                 p = self.parent[i]
+                tops[p] += tops[i]
                 plain[p] += plain[i]
                 links[p] += links[i]
                 mains[p] += mains[i]
@@ -166,6 +172,8 @@ class Page:
         has_article = bool(mains[0] or articles)
 
         def holds(i: int) -> bool:
+            if self.doubt[i] == BY_READERS and tops[i] and tops[i] == tops[0] and 2 * plain[i] > plain[0]:
+                return True  # the page's heading and most of its text: named after its comments, but not they
             if self.doubt[i] == BY_READERS:
                 # nothing but these on a page without an article: its text is what readers wrote
                 return not has_article and total < PROSE and plain[i] > plain[0] / 2

@@ -1,6 +1,7 @@
 """Token counts, token store, main text, archives: against brute force on small odd tables."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -14,7 +15,8 @@ from palimpsest.llm.chunked import ChunkIds
 
 ODD = [
     None, "", " ", "\n \t", "The cat sat.", "the  cat\n\nsat , on'ts I'LL 12345", "İİx ćd ÀÉ", "x" * 300, "<|endoftext|>x <|startoftext|>",
-    "ß…“q”", "漢字かな 한국어", "é́ é x", "foo\x1cq!\x1cx", "a᠎ b", "word " * 900, "end.", "end.",
+    "ß…“q”", "漢字かな 한국어", "é́ é x", "foo\x1cq!\x1cx", "a᠎ b", "hi  \u180e there\xa0\u180e", "\u180e \u180e é x<|endoftext|>\u180e",
+    "word " * 900, "end.", "end.",
 ]
 
 
@@ -49,6 +51,16 @@ def test_token_counts_rows(spark):
     assert token_counts.token_counts(rows(spark, []), limit=40).count() == 0
 
 
+def test_counts_of_odd_spaces_and_letters():
+    rng = random.Random(3)
+    t, counter = lib("word_bpe_49k.json"), token_counts.PrefixCounter()
+    parts = [" ", "  ", "\u180e", "\xa0", "\n", "hi", "there", "é", "e\u0301", "İ", "ß", ",", ".", "<|endoftext|>", "中", "1", "'s", "A", "\u3000"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(1500)]
+    for text, steps in zip(texts, counter.steps(texts)):
+        for k in range(len(text) + 1):
+            assert token_counts.tokens_before(steps, k) == len(t.encode(text[:k], add_special_tokens=False).ids), (text, k)
+
+
 def test_stored_arrays_answer_again(spark):
     from pyspark.sql import functions as F
 
@@ -158,6 +170,19 @@ def test_confirmed_names_are_dropped(junk):
     assert html_text.extract(PAGE.replace("@", "<div id='post'><h1>T</h1>" + TAIL + TAIL + "</div>" + junk)) == want
 
 
+@pytest.mark.parametrize("name", [
+    "comments-open", "comments-closed", "disqus-enabled", "single-comment-page", "post-comments-off", "comment-status-open", "comments",
+])
+def test_a_state_of_comments_is_no_list_of_comments(name):
+    want = " ".join(("T " + LONG * 8).split())
+    comments = f"<ol class='commentlist'><li class='comment'>{TAIL}</ol>"
+    for tag in ("div", "section"):
+        body = f"<main><{tag} class='post {name}'><h1>T</h1>{TAIL}{TAIL}{comments}</{tag}></main>"
+        assert html_text.extract(PAGE.replace("@", body)) == want
+    code = "<article><h1>T</h1>" + TAIL + "<pre class='code comment'>x = 1</pre>" + TAIL + "</article>"
+    assert "x = 1" in html_text.extract(PAGE.replace("@", code))
+
+
 def test_an_advert_longer_than_the_article_goes():
     assert html_text.extract(f"<div class='ad'>{LONG}</div><article><h1>T</h1><p>short</article>") == "T short"
 
@@ -199,7 +224,8 @@ def test_archives(spark):
     kinds = sorted(((r["page_id"] or 0), r["record_type"], r["refers_to"] or 0) for r in got)
     assert kinds == [(0, "revisit", 3), (1, "revisit", 9), (2, "response", 0), (3, "response", 0), (3, "revisit", 3), (4, "revisit", 9),
                      (5, "response", 0), (6, "response", 0), (7, "response", 0), (8, "response", 0), (9, "response", 0)]
-    assert archives.archived(pages.limit(0)).count() == 0
+    for some in (0, 1, 2):
+        assert archives.archived(pages.limit(some).repartition(16)).count() == some
 
 
 def test_arc_versions_and_faults():
