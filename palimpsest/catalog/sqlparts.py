@@ -177,9 +177,12 @@ records AS MATERIALIZED (
     substr(sha1(t.layer || chr(0) || t.text), 1, 16) AS fp
   FROM titled t LEFT JOIN kw k USING (ord))"""
 
-INDEX = f"""{RECORDS},
+
+def index_ctes(records: str = "records") -> str:
+    """Index CTEs over a CTE of records."""
+    return f"""
 kept AS MATERIALIZED (
-  SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY session, fp ORDER BY ord) = 1),
+  SELECT * FROM {records} QUALIFY row_number() OVER (PARTITION BY session, fp ORDER BY ord) = 1),
 entries AS (
   SELECT session, ord, layer, unnest({tokens('title')}) AS token, 3 AS w FROM kept
   UNION ALL
@@ -201,6 +204,9 @@ corpus AS MATERIALIZED (
   SELECT session, count(*) AS n, avg(len) AS avgdl FROM stats GROUP BY session)"""
 
 
+INDEX = f"{RECORDS},{index_ctes()}"
+
+
 def search_ctes(queries: str, *, by_layer: bool, limit: int, top: int = V.DENOMINATOR_TOP,
                 in_session: bool = True, out: str = "hits") -> str:
     """CTEs ``{out}`` over ``queries`` (query_id, segment, text[, session])."""
