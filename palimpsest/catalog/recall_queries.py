@@ -8,10 +8,13 @@ from palimpsest import vocab as V
 from palimpsest.catalog import Registry
 from palimpsest.catalog import sqlparts as S
 from palimpsest.catalog.search_queries import _index, stored_records
+from palimpsest.functions import tokens as K
 from palimpsest.operators.recall import format_recall, fresh_hits, recall_line
 from palimpsest.operators.recap import _header_tokens, recap, recap_candidates
+from palimpsest.operators.similar import similar_pairs
 from palimpsest.operators.tiers import two_tier
-from palimpsest.sources.tables import document_blocks, questions
+from palimpsest.session import settle
+from palimpsest.sources.tables import document_blocks, questions, table
 
 registry = Registry()
 
@@ -36,9 +39,43 @@ def _picked(spark, sf_dir):
     return picked.join(texts, ["session", "ord"])
 
 
+_FIRST_WORDS = 24
+
+
+@registry.add(
+    "similar_records",
+    f"""WITH {S.RECORDS},
+r AS MATERIALIZED (SELECT session, ord, list_distinct({S.tokens(f"array_to_string(list_slice(string_split(text, ' '), 1, {_FIRST_WORDS}), ' ')")}) AS t FROM records),
+p AS (SELECT a.session, a.ord, b.ord AS other, {S.jaccard('a.t', 'b.t')} AS likeness FROM r a JOIN r b ON a.session = b.session AND a.ord < b.ord)
+SELECT session, ord, other, round(likeness, 9) AS likeness FROM p WHERE likeness >= {V.NEAR_DUPLICATE}""",
+)
+def similar_records(spark, sf_dir):
+    """Records of one session that begin alike: the first words of each as the line that was shown."""
+    begun = F.array_join(F.slice(F.split("text", " "), 1, _FIRST_WORDS), " ")
+    rows = stored_records(spark, sf_dir).select("session", "ord", K.token_set(begun).alias("line"))
+    found = similar_pairs(
+        rows, rows.withColumnRenamed("ord", "other"), ["session"], ["ord"], ["other"], "line", V.NEAR_DUPLICATE,
+        strict=F.col("ord") < F.col("other"),
+    )
+    return found.withColumn("likeness", F.round("likeness", 9))
+
+
+def _shown(spark, sf_dir):
+    """What earlier turns showed: the records that a label calls good."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("ord")).distinct()
+    rows = stored_records(spark, sf_dir).join(good, "ord", "left_semi")
+    return rows.select("session", "fp", recall_line(F.col("title"), F.col("text")).alias("line"))
+
+
+def _queued(picked):
+    """Material queued for this turn: per session the text of the first pick of its last question."""
+    return picked.where("place = 1").groupBy("session").agg(F.max_by("text", "query_id").alias("boost"))
+
+
 @registry.add("fresh_hits")
 def fresh_hits_query(spark, sf_dir):
-    return fresh_hits(_picked(spark, sf_dir)).select(
+    picked = settle(_picked(spark, sf_dir))
+    return fresh_hits(picked, injected=_shown(spark, sf_dir), boost=_queued(picked)).select(
         "query_id", "session", "ord", "place", "line", F.coalesce("drop_reason", F.lit("")).alias("reason")
     )
 

@@ -11,6 +11,7 @@ from palimpsest.functions.titles import snippet, time_label
 from palimpsest.operators.index import BlockIndex
 from palimpsest.operators.ordered import top_per_key
 from palimpsest.operators.search import search
+from palimpsest.operators.similar import substring_counts
 
 ASK = ["query_id", "session"]
 STRONG_RATIO = 1.5
@@ -87,25 +88,14 @@ def strong_hit(score, min_score: float = 0.28):
 def token_spread(records: DataFrame, questions: DataFrame, top: int = 12) -> DataFrame:
     """Per question, the tokens found as substrings in the most records of its session.
 
-    A session's distinct tokens travel as one array to its records by an equi-join; each record
-    tests them and sends on only the matches. The test is case-sensitive on the stored text.
+    The test is case-sensitive on the stored title, keywords and text.
     """
     asked = questions.select(*ASK, F.posexplode(K.token_set(F.col("text")))).select(
         *ASK, "pos", F.col("col").alias("token")
-    )
-    vocabulary = asked.groupBy("session").agg(F.collect_set("token").alias("_tokens"))
-    haystack = F.concat_ws("\n", "title", F.array_join("keywords", " "), "text")
-    found = (
-        records.select("session", haystack.alias("_hay"))
-        .join(vocabulary, "session")
-        .select("session", F.explode(
-            F.filter("_tokens", lambda t: F.contains(F.col("_hay"), t))).alias("token"))
-        .groupBy("session", "token")
-        .agg(F.count("*").alias("records"))
-    )
-    counted = asked.join(found, ["session", "token"], "left").withColumn(
-        "records", F.coalesce("records", F.lit(0))
     ).where(F.length("token") > 1)
+    haystack = F.concat_ws("\n", "title", F.array_join("keywords", " "), "text")
+    found = substring_counts(records.select("session", "ord", haystack.alias("hay")), asked)
+    counted = asked.join(found, ["session", "token"], "left").withColumn("records", F.coalesce("records", F.lit(0)))
     return top_per_key(counted, ASK, [F.desc("records"), F.asc("pos")], top, "place")
 
 

@@ -13,7 +13,8 @@ from palimpsest.functions.sentences import (
 )
 from palimpsest.functions.titles import is_table_row, source_label, strip_line_markup
 from palimpsest.functions.tokens import let
-from palimpsest.session import spread
+from palimpsest.operators.similar import similar_pairs
+from palimpsest.session import settle, spread
 
 SHORTEST_QUOTE = 6
 LONGEST_QUOTE = 160
@@ -311,27 +312,27 @@ def fresh_hits(
     """Gate the picked blocks of each question; adds line and drop_reason (null = kept).
 
     ``picked``: query_id, session, place (1 or 2), fp, title, text. ``injected``: session, fp,
-    line — what earlier turns already showed (bounded per session by the caller's memory of 40).
+    line — what earlier turns already showed, however much it is; its lines meet the picked ones by likeness.
     ``boost``: session, boost — material queued for this turn.
     """
-    rows = spread(picked, "query_id", "session").withColumn("line", recall_line(F.col("title"), F.col("text"), max_chars))
+    ident = ["query_id", "session", "place"]
+    rows = spread(picked, *ident).withColumn("line", recall_line(F.col("title"), F.col("text"), max_chars))
+    no = F.lit(False)
     rows = rows.withColumns({
         "_line": K.token_set(F.col("line")), "_body": K.token_set(F.col("text")),
         "_title": K.trim_ws(F.coalesce("title", F.lit(""))),
+        "_seen_fp": no, "_boosted": no, "_seen_text": no,
     })
-    no = F.lit(False)
-    rows = rows.withColumns({"_seen_fp": no, "_boosted": no, "_seen_text": no})
     if dedupe and injected is not None:
-        shown = injected.groupBy("session").agg(
-            F.collect_set("fp").alias("_fps"),
-            F.collect_list(K.token_set(F.col("line"))).alias("_shown"),
+        rows = settle(rows.drop("_seen_fp", "_seen_text"))
+        fps = injected.where("fp is not null").select("session", "fp", F.lit(True).alias("_seen_fp")).distinct()
+        lines = injected.select("session", F.col("line").alias("_shown")).distinct().withColumn("_line", K.token_set(F.col("_shown")))
+        alike = similar_pairs(rows, lines, ["session"], ["query_id", "place"], ["_shown"], "_line", V.NEAR_DUPLICATE)
+        seen = alike.select(*ident, F.lit(True).alias("_seen_text")).distinct()
+        rows = (
+            rows.join(fps, ["session", "fp"], "left").join(seen, ident, "left")
+            .withColumns({c: F.coalesce(c, no) for c in ("_seen_fp", "_seen_text")})
         )
-        rows = rows.join(shown, "session", "left").withColumns({
-            "_seen_fp": F.coalesce(F.array_contains("_fps", F.col("fp")), no),
-            "_seen_text": F.coalesce(
-                F.exists("_shown", lambda s: K.jaccard(F.col("_line"), s) >= V.NEAR_DUPLICATE), no
-            ),
-        }).drop("_fps", "_shown")
     if dedupe and boost is not None:
         rows = rows.join(boost, "session", "left").withColumn(
             "_boosted",
