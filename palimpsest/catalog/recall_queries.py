@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from palimpsest import vocab as V
 from palimpsest.catalog import Registry
 from palimpsest.catalog import sqlparts as S
+from palimpsest.catalog.recall_sql import line_ctes
 from palimpsest.catalog.search_queries import _index, stored_records
+from palimpsest.catalog.tier_queries import _SINGLE_MERGE, _decide_sql
 from palimpsest.functions import tokens as K
 from palimpsest.operators.recall import format_recall, fresh_hits, recall_line
 from palimpsest.operators.recap import _header_tokens, recap, recap_candidates
@@ -19,7 +21,12 @@ from palimpsest.sources.tables import document_blocks, questions, table
 registry = Registry()
 
 
-@registry.add("recall_lines")
+@registry.add(
+    "recall_lines",
+    f"""WITH {S.RECORDS},
+asked AS (SELECT session, ord, title, CASE WHEN ord % 2 = 0 THEN '问：' || title || chr(10) || '答：' || replace(text, '. ', '! ') ELSE text END AS text FROM records),
+{line_ctes('asked', 'lines')} SELECT session, ord, line FROM lines""",
+)
 def recall_lines(spark, sf_dir):
     """A recall line for every document block; half are phrased as question and answer."""
     records = stored_records(spark, sf_dir)
@@ -72,17 +79,54 @@ def _queued(picked):
     return picked.where("place = 1").groupBy("session").agg(F.max_by("text", "query_id").alias("boost"))
 
 
-@registry.add("fresh_hits")
+def _set(x: str) -> str:
+    return f"list_distinct({S.tokens(x)})"
+
+
+_GATED = f"""{S.INDEX}, {S.QUESTIONS}, {S.search_ctes('questions', by_layer=True, limit=6)},
+{_SINGLE_MERGE}, {_decide_sql()},
+picks AS (SELECT d.query_id, d.session, d.ord, d.fp, d.place, r.title, r.text FROM decided d JOIN records r USING (session, ord) WHERE d.picked),
+{line_ctes('picks', 'plines')},
+goods AS (SELECT r.session, r.fp, r.title, r.text FROM records r WHERE r.ord IN (SELECT doc_id FROM labels WHERE quality = 1)),
+{line_ctes('goods', 'shown')},
+shown_sets AS MATERIALIZED (SELECT session, fp, {_set('line')} AS t FROM shown),
+queued AS MATERIALIZED (SELECT session, {_set('arg_max(text, query_id)')} AS t FROM picks WHERE place = 1 GROUP BY session),
+sets AS MATERIALIZED (SELECT p.*, {S.trim("coalesce(p.title, '')")} AS tt, {_set('p.line')} AS lt, {_set('p.text')} AS bt, q.t AS qt
+  FROM plines p LEFT JOIN queued q USING (session)),
+gates AS MATERIALIZED (SELECT *,
+  CASE WHEN EXISTS (SELECT 1 FROM shown_sets x WHERE x.session = s.session AND x.fp = s.fp) THEN 'injected-fp'
+    WHEN len(lt) > 0 AND len(qt) > 0 AND len(list_intersect(lt, qt))::DOUBLE / len(lt) >= {V.NEAR_DUPLICATE} THEN 'boost-overlap'
+    WHEN EXISTS (SELECT 1 FROM shown_sets x WHERE x.session = s.session AND {S.jaccard('x.t', 's.lt')} >= {V.NEAR_DUPLICATE}) THEN 'injected-text'
+  END AS gate FROM sets s),
+judged AS MATERIALIZED (SELECT g.*, coalesce(g.gate, CASE WHEN f.query_id IS NULL THEN NULL WHEN g.tt <> '' AND g.tt = f.tt THEN 'same-title'
+    WHEN {S.jaccard('g.bt', 'f.bt')} >= {V.NEAR_DUPLICATE} OR {S.jaccard('g.lt', 'f.lt')} >= {V.NEAR_DUPLICATE} THEN 'near-duplicate' END, '') AS reason
+  FROM gates g LEFT JOIN gates f ON f.query_id = g.query_id AND f.session = g.session AND f.place = 1 AND g.place = 2 AND f.gate IS NULL)"""
+
+
+@registry.add("fresh_hits", f"WITH {_GATED} SELECT query_id, session, ord, place, line, reason FROM judged")
 def fresh_hits_query(spark, sf_dir):
+    """The picks of every question behind all gates: what a label calls good was shown before, and each session
+    has material queued."""
     picked = settle(_picked(spark, sf_dir))
     return fresh_hits(picked, injected=_shown(spark, sf_dir), boost=_queued(picked)).select(
-        "query_id", "session", "ord", "place", "line", F.coalesce("drop_reason", F.lit("")).alias("reason")
+        "query_id", "session", "ord", F.col("place").cast("bigint").alias("place"), "line", F.coalesce("drop_reason", F.lit("")).alias("reason")
     )
 
 
-@registry.add("recall_block")
+@registry.add(
+    "recall_block",
+    f"""WITH {_GATED},
+laid AS (SELECT query_id, session, {S.q(V.RECALL_HEADER)} || chr(10) || string_agg('- [对话] ' || line, chr(10) ORDER BY place)
+    || chr(10) || {S.q(V.MARKER_END)} AS text, count(*) AS items, string_agg(fp, ' ' ORDER BY place) AS fps
+  FROM judged WHERE reason = '' AND trim(line) <> '' GROUP BY query_id, session)
+SELECT query_id, session, text, CAST({S.estimate('text')} AS BIGINT) AS tokens, items, fps FROM laid""",
+)
 def recall_block(spark, sf_dir):
-    return format_recall(fresh_hits(_picked(spark, sf_dir)))
+    picked = settle(_picked(spark, sf_dir))
+    out = format_recall(fresh_hits(picked, injected=_shown(spark, sf_dir), boost=_queued(picked)))
+    return out.select(
+        "query_id", "session", "text", F.col("tokens").cast("bigint").alias("tokens"), F.col("items").cast("bigint").alias("items"), "fps"
+    )
 
 
 _CANDIDATES = f"""grouped AS (SELECT session, compaction_id, max("at") AS gat, min(ord) AS go FROM records
