@@ -39,7 +39,7 @@ def time_windows(text: Column) -> Column:
     """Zero-based ``[start, end)`` of every sentence that holds a time reference."""
     bound = f"\n{V.SENTENCE_END}"
     pieces = F.regexp_extract_all(
-        text, F.lit(f"(?i)(?:{any_pattern()}|[^{bound}])+|[{bound}]"), F.lit(0)
+        text, F.lit(f"(?i)(?:{any_pattern()}|[^{bound}])++|[{bound}]"), F.lit(0)
     )
     start = F.struct(
         F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(0).alias("at")
