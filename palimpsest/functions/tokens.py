@@ -49,8 +49,16 @@ def _surface_words(ws: Column) -> Column:
     return F.filter(F.transform(ws, F.lower), _not_stop)
 
 
+def _is_compound(w: Column) -> Column:
+    """Whether a word holds ``IDENTIFIER_BREAK``; plain byte tests settle nearly all words. Numbers sort first."""
+    marked = F.lit(False)
+    for mark in V.IDENTIFIER_MARKS:
+        marked = marked | F.contains(w, F.lit(mark))
+    return (w >= "A") & (marked | ((w != F.lower(w)) & w.rlike(V.IDENTIFIER_BREAK)))
+
+
 def _identifier_parts(ws: Column) -> Column:
-    compound = F.filter(ws, lambda w: w.rlike("^[A-Za-z]") & w.rlike(V.IDENTIFIER_BREAK))
+    compound = F.filter(ws, _is_compound)
     return F.flatten(
         F.transform(
             compound,
@@ -73,7 +81,9 @@ def cjk_bigrams(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
         lambda p: ~p.rlike(f"^[{V.STOP_CHARS}]{{1,2}}$"),
     )
-    return F.when(text.rlike(c), pairs).otherwise(F.array().cast("array<string>"))
+    # a text of as many bytes as characters is plain ASCII
+    some = (F.octet_length(text) > F.length(text)) & text.rlike(c)
+    return F.when(some, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def surface_terms(text: Column) -> Column:

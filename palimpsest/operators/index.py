@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,24 +19,31 @@ class BlockIndex:
 
     postings: session, ord, layer, token, tf, len      blocks: session, ord, layer, fp, at, …
     terms: session, token, df                          corpus: session, n, avgdl
+    records: what it was built from, if it is not stored yet
     """
 
     postings: DataFrame
     blocks: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    records: DataFrame | None = None
 
     def settled(self) -> BlockIndex:
         """Write postings and block statistics once; the small tables derive from them."""
-        return assemble(settle(self.postings), settle(self.blocks))
+        postings = settle(self.postings)
+        return assemble(postings, settle(self._blocks(postings)))
+
+    def _blocks(self, postings: DataFrame) -> DataFrame:
+        """Block statistics from written postings, so that no text is tokenized twice."""
+        return self.blocks if self.records is None else stats_from(self.records, postings)
 
     def write(self, path: str) -> None:
         """Store the index; postings are clustered by token so scans can skip row groups."""
         self.postings.repartitionByRange("token", "session", "ord").sortWithinPartitions(
             "token", "session"
         ).write.mode("overwrite").parquet(f"{path}/postings")
-        self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
         stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        self._blocks(stored).write.mode("overwrite").parquet(f"{path}/blocks")
         term_stats(stored).write.mode("overwrite").parquet(f"{path}/terms")
         blocks = self.postings.sparkSession.read.parquet(f"{path}/blocks")
         corpus_stats(blocks).write.mode("overwrite").parquet(f"{path}/corpus")
@@ -62,9 +69,12 @@ def _length() -> Column:
     return sum((F.size(c) * w for c, w in weights.items()), start=F.lit(0)).cast("double")
 
 
+BLOCK_FACTS = ["session", "ord", "layer", "fp", "at", "title", "compaction_id", "seq_end", "src", "tool"]
+
+
 def block_stats(records: DataFrame) -> DataFrame:
     return with_field_tokens(records).select(
-        "session", "ord", "layer", "fp", "at", "title", "compaction_id", "seq_end", "src", "tool",
+        *BLOCK_FACTS,
         _length().alias("len"),
         F.size(F.array_distinct(F.concat("_title", "_words", "_text"))).alias("terms"),
         K.conclusion_score(F.col("text")).alias("concl"),
@@ -72,6 +82,17 @@ def block_stats(records: DataFrame) -> DataFrame:
     )
 
 
+def stats_from(records: DataFrame, postings: DataFrame) -> DataFrame:
+    """``block_stats`` of ``records`` whose postings are there already; texts stay where they are."""
+    counted = postings.groupBy("session", "ord").agg(F.max("len").alias("len"), F.count("*").cast("int").alias("terms"))
+    facts = records.select(
+        *BLOCK_FACTS, K.conclusion_score(F.col("text")).alias("concl"), K.is_blank(F.col("text")).alias("blank")
+    )
+    return facts.join(counted, ["session", "ord"], "left").select(
+        *BLOCK_FACTS, F.coalesce("len", F.lit(0.0)).alias("len"), F.coalesce("terms", F.lit(0)).alias("terms"), "concl", "blank"
+    )
+
+
 def postings_of(records: DataFrame) -> DataFrame:
     """Weighted term counts per block; counted where the block lies, without a token shuffle."""
 
@@ -108,4 +129,5 @@ def assemble(postings: DataFrame, blocks: DataFrame) -> BlockIndex:
 
 def build_index(records: DataFrame) -> BlockIndex:
     kept = first_occurrences(records)
-    return assemble(postings_of(spread(kept, "ord")), block_stats(kept))
+    index = assemble(postings_of(spread(kept, "ord")), block_stats(kept))
+    return replace(index, records=kept)

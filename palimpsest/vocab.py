@@ -50,6 +50,7 @@ STOP_CHARS = (
 
 # --- fixed values: tokens -------------------------------------------------------------------
 WORD_PATTERN = r"[A-Za-z][A-Za-z0-9_+\-.#/]+|[0-9]+(?:\.[0-9]+)?"
+IDENTIFIER_MARKS = "._-/+#"
 IDENTIFIER_BREAK = r"[_\-./#+]|[a-z0-9][A-Z]"
 IDENTIFIER_SPLIT = r"[_\-./#+]+|(?<=[a-z0-9])(?=[A-Z])"
 
