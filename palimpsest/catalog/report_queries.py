@@ -10,6 +10,7 @@ from palimpsest.catalog.search_queries import _index
 from palimpsest.functions import timewords as W
 from palimpsest.operators.rollups import expansion_savings
 from palimpsest.operators.search import search
+from palimpsest.sources.listing import known_workspaces
 from palimpsest.sources.tables import document_blocks, table
 from palimpsest.vocab import SENTENCE_END
 
@@ -62,6 +63,26 @@ def expansion_savings_query(spark, sf_dir):
     return out.withColumns({"saved": F.round("saved", 6), "share": F.round("share", 6)})
 
 
+@registry.add(
+    "known_workspaces",
+    """WITH lists AS (
+  SELECT source AS w, 0 AS rank, min(doc_id) AS pos FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY source
+  UNION ALL SELECT source, 1, min(doc_id) FROM documents GROUP BY source
+  UNION ALL SELECT 'src' || (conv_id % 25), 2, min(conv_id) FROM conversations GROUP BY 1),
+first AS (SELECT w, min({'r': rank, 'p': pos}) AS at_ FROM lists WHERE w <> '' GROUP BY w)
+SELECT w AS workspace, row_number() OVER (ORDER BY at_.r, at_.p, w) - 1 AS place FROM first""",
+)
+def known_workspaces_query(spark, sf_dir):
+    """Sources of good documents first, then all sources, then those that conversations name."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("workspace"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    lists = [docs.join(good, "doc_id", "left_semi"), docs]
+    lists = [d.groupBy("workspace").agg(F.min("doc_id").alias("pos")) for d in lists]
+    named = F.concat(F.lit("src"), (F.col("conv_id") % 25).cast("string")).alias("workspace")
+    talks = table(spark, sf_dir, "conversations").select(named, F.col("conv_id").alias("pos"))
+    return known_workspaces([*lists, talks.groupBy("workspace").agg(F.min("pos").alias("pos"))])
+
+
 _PHRASE = "(CASE {id} % 5 WHEN 0 THEN 'As discussed yesterday, ' WHEN 1 THEN '上次 ' WHEN 2 THEN 'Recently ' ELSE '' END)"
 _PIECES = S.q(f"(?i)(?:{W.any_pattern()}|[^\n{SENTENCE_END}])+|[\n{SENTENCE_END}]")
 

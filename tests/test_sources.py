@@ -124,3 +124,40 @@ def test_session_view_and_limiter_stream(spark, tmp_path):
     q = lim.writeStream.format("memory").queryName("lim").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.allowed for r in spark.table("lim").orderBy("at_ms").collect()] == [True, True, False, True]
+
+
+def test_workspace_listing(spark, tmp_path):
+    import gzip
+    import os
+
+    from palimpsest.sources.listing import newest_logs, session_files, workspace_records
+
+    good = json.dumps({"session": "a", "ord": 1, "text": "kept"}) + "\n"
+    (tmp_path / "a.jsonl").write_text(good + "broken {\n" + json.dumps({"session": "a", "ord": 2}) + "\n")
+    (tmp_path / "b.jsonl").write_text(good.replace("kept", "too"))
+    (tmp_path / "_audit.jsonl").write_text(good)
+    packed = gzip.compress(good.encode() * 2000)
+    (tmp_path / "c.jsonl.gz").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "empty.jsonl").write_text("")
+    files = session_files(spark, str(tmp_path)).collect()
+    assert sorted(f.session for f in files) == ["a", "b"]  # Spark passes over empty files
+    assert {f.session: f.bytes for f in files}["b"] == len(good) - 1
+    texts = {r.text for r in workspace_records(spark, str(tmp_path)).where("not file like '%c.jsonl.gz'").collect()}
+    assert texts == {"kept", "too"}
+    assert workspace_records(spark, str(tmp_path)).count() >= 2  # a torn file stops nothing
+    folder = tmp_path / "logs" / "p" / "s1"
+    folder.mkdir(parents=True)
+    for name, at in (("session.v2.jsonl", 100), ("session.jsonl", 200), ("session.v3.jsonl", 50)):
+        (folder / name).write_text("{}")
+        os.utime(folder / name, (at, at))
+    (newest,) = newest_logs(log_files(spark, str(tmp_path / "logs"))).collect()
+    assert newest.path.endswith("/session.jsonl")
+
+
+def test_known_workspaces_keep_the_first_place(spark):
+    from palimpsest.sources.listing import known_workspaces
+
+    lists = [[("b", 1), ("a", 2), ("", 3)], [("a", 1), ("c", 9), (None, 2)], [("d", 1), ("b", 0)], []]
+    frames = [spark.createDataFrame(x, "workspace string, pos int") for x in lists]
+    assert [r.workspace for r in known_workspaces(frames).orderBy("place").collect()] == ["b", "a", "c", "d"]
+    assert known_workspaces([frames[3]]).count() == 0
