@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Registry
+from palimpsest.catalog.chunk_sql import SPLIT_BLOCKS, SUMMARY_SECTIONS
 from palimpsest.functions.chunks import split_blocks, summary_sections
 from palimpsest.operators.ordered import row_number
 from palimpsest.sources.tables import table
@@ -19,14 +20,14 @@ def _headed(spark, sf_dir):
     return docs.withColumn("text", headed)
 
 
-@registry.add("split_blocks")
+@registry.add("split_blocks", SPLIT_BLOCKS)
 def split_blocks_query(spark, sf_dir):
     return _headed(spark, sf_dir).select("doc_id", F.posexplode(split_blocks(F.col("text")))).select(
         "doc_id", "pos", F.col("col").alias("block")
     )
 
 
-@registry.add("summary_sections")
+@registry.add("summary_sections", SUMMARY_SECTIONS)
 def summary_sections_query(spark, sf_dir):
     return _headed(spark, sf_dir).select(
         "doc_id", F.posexplode(summary_sections(F.col("text")))
