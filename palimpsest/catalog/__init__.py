@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 AREAS = [
     "search_queries", "tier_queries", "text_queries", "event_queries", "recall_queries",
     "store_queries", "diagnose_queries", "block_queries", "panel_queries",
-    "live_queries", "report_queries",
+    "live_queries", "report_queries", "history_queries",
 ]
 
 
