@@ -14,6 +14,7 @@ from palimpsest.llm import near_dup, periodic, variants
 from palimpsest.llm import token_counts as counts
 from palimpsest.llm import token_store as store
 from palimpsest.llm.common import table
+from palimpsest.llm.oracles import PERIODIC, SPELLING
 
 LIMIT = 2048
 
@@ -141,4 +142,7 @@ FROM t WINDOW w AS (PARTITION BY t)"""
 
 def llm_oracles() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op4_archives": _ARCHIVES_SQL, "op8_near_duplicates": _NEAR_SQL, "op11_exact_duplicates": _EXACT_SQL}
+    return {
+        "op4_archives": _ARCHIVES_SQL, "op8_near_duplicates": _NEAR_SQL, "op11_exact_duplicates": _EXACT_SQL,
+        "op12_spelling_variants": SPELLING, "op13_periodic_runs": PERIODIC,
+    }
