@@ -177,9 +177,9 @@ def log_tail(spark, sf_dir):
 
 @registry.add(
     "label_pairs",
-    f"""WITH {S.BLOCKS} SELECT b."at", b.session, substr(b.text, 1, 2000) AS query, {_FP} AS fp,
+    f"""WITH {S.BLOCKS} SELECT b."at", b.session, b.text AS query, {_FP} AS fp,
   CASE WHEN l.quality = 1 THEN 'hit' ELSE 'none' END AS verdict, floor(b.ord / 7.0::DOUBLE * 10000 + 0.5) / 10000 AS score,
-  substr(b.text, 1, 200) AS title FROM blocks b JOIN labels l ON l.doc_id = b.ord""",
+  b.text AS title FROM blocks b JOIN labels l ON l.doc_id = b.ord""",
 )
 def label_pairs(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality")

@@ -8,26 +8,23 @@ from pyspark.sql import functions as F
 from palimpsest import vocab as V
 from palimpsest.functions.tokens import collapse_ws, let, trim_ws, ws_class
 
-_LEAD = r"^[#>\-*" + V.WS + "]+"
-_CUT_AT = "[。；，;., ]"
-
 
 def strip_line_markup(line: Column) -> Column:
     """Remove leading list/heading/quote marks and bold marks."""
-    return trim_ws(F.replace(F.regexp_replace(line, _LEAD, ""), F.lit("**"), F.lit("")))
+    return trim_ws(F.replace(F.regexp_replace(line, V.LINE_LEAD, ""), F.lit("**"), F.lit("")))
 
 
 def clean_line(line: Column) -> Column:
-    bare = F.replace(F.regexp_replace(line, _LEAD, ""), F.lit("**"), F.lit(""))
+    bare = F.replace(F.regexp_replace(line, V.LINE_LEAD, ""), F.lit("**"), F.lit(""))
     return trim_ws(F.replace(bare, F.lit("`"), F.lit("")))
 
 
 def is_continuation(line: Column) -> Column:
     return (
         (F.length(line) < 3)
-        | line.rlike(r"^[a-z]")
-        | line.rlike(r"^[)）,，。、；：;:.…\-|*>`\]]")
-        | (line.rlike(r"^[<>/]") & (F.length(line) < 24))
+        | line.rlike(V.CONTINUES_LOWER)
+        | line.rlike(V.CONTINUES_MARK)
+        | (line.rlike(V.CONTINUES_TAG) & (F.length(line) < 24))
     )
 
 
@@ -37,13 +34,13 @@ def is_table_row(line: Column) -> Column:
 
 
 def is_fragment_title(title: Column) -> Column:
-    opens = F.length(title) - F.length(F.regexp_replace(title, "[（(]", ""))
-    closes = F.length(title) - F.length(F.regexp_replace(title, "[）)]", ""))
+    opens = F.length(title) - F.length(F.regexp_replace(title, V.BRACKETS_OPEN, ""))
+    closes = F.length(title) - F.length(F.regexp_replace(title, V.BRACKETS_CLOSE, ""))
     return (
         (F.length(title) < 6)
-        | title.rlike("[,，、;；:：]$")
-        | title.rlike("(?i)(into|and|via|with|to|for|of|the)$")
-        | title.rlike(r"^[)\]）】]")
+        | title.rlike(V.FRAGMENT_END)
+        | title.rlike(V.FRAGMENT_WORD)
+        | title.rlike(V.FRAGMENT_START)
         | (opens != closes)
     )
 
@@ -52,7 +49,7 @@ def cut_at_punctuation(text: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut at the last separator when it lies past 40 %."""
 
     def cut(x: Column) -> Column:
-        upto = F.regexp_extract(F.substring(x, 1, limit), f"(?s)^(.*){_CUT_AT}", 1)
+        upto = F.regexp_extract(F.substring(x, 1, limit), f"(?s)^(.*){V.TITLE_CUT_AT}", 1)
         shorter = let(
             upto,
             lambda u: F.when(F.length(u) >= limit * 0.4, u).otherwise(F.substring(x, 1, limit)),

@@ -100,14 +100,18 @@ def tail(log: DataFrame, order: str, n: int) -> DataFrame:
     return log.orderBy(F.desc(order)).limit(n).orderBy(order)
 
 
-def label_pairs(rows: DataFrame) -> DataFrame:
-    """Normalised human verdicts: hit or none, bounded texts, scores to four digits."""
+def label_pairs(rows: DataFrame, query_chars: int | None = None, title_chars: int | None = None) -> DataFrame:
+    """Normalised human verdicts: hit or none, scores to four digits; texts are whole unless a length is given."""
+
+    def text(name: str, chars: int | None) -> Column:
+        return F.col(name) if chars is None else F.substring(name, 1, chars).alias(name)
+
     return rows.select(
         "at", "session",
-        F.substring("query", 1, 2000).alias("query"), "fp",
+        text("query", query_chars), "fp",
         F.when(F.col("verdict") == "hit", "hit").otherwise("none").alias("verdict"),
         K.round_half_up(F.col("score"), 4).alias("score"),
-        F.substring("title", 1, 200).alias("title"),
+        text("title", title_chars),
     )
 
 

@@ -9,18 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest import vocab as V
 from palimpsest.functions import tokens as K
 from palimpsest.functions.sanitize import sanitize, strip_markers
 from palimpsest.operators.packing import running_budget
 
-DEFAULT_NAMES = "read, grep, glob, web_fetch, history_read"
-TARGET_KEYS = [
-    "file_path", "filePath", "path", "pattern", "query", "url", "command", "description", "name",
-]
-PATH_KEYS = ["file_path", "filePath", "path", "notebook_path"]
 
-
-def allowed_tool(name: Column, names: str = DEFAULT_NAMES) -> Column:
+def allowed_tool(name: Column, names: str = V.TOOL_NAMES) -> Column:
     wanted = [n for n in names.replace("，", ",").replace(",", " ").split() if n]
     if "*" in wanted:
         return F.lit(True)
@@ -36,7 +31,7 @@ def _first_argument(args: Column, keys: list[str]) -> Column:
 
 def tool_target(name: Column, args: Column) -> Column:
     """Last two path parts of the first non-blank argument, else the tool name."""
-    parts = F.split(F.replace(_first_argument(args, TARGET_KEYS), F.lit("\\"), F.lit("/")), "/")
+    parts = F.split(F.replace(_first_argument(args, V.TOOL_TARGET_KEYS), F.lit("\\"), F.lit("/")), "/")
     tail = F.slice(parts, -F.least(F.lit(2), F.size(parts)), F.lit(2))
     return F.coalesce(F.array_join(tail, "/"), name, F.lit(""))
 
@@ -55,31 +50,31 @@ def _inside(target: pd.Series, cwd: pd.Series, root: pd.Series) -> pd.Series:
 
 def reads_own_store(args: Column, cwd: Column, root: Column) -> Column:
     """Whether the call's path argument resolves strictly inside ``root``."""
-    return _inside(F.coalesce(_first_argument(args, PATH_KEYS), F.lit("")), cwd, root)
+    return _inside(F.coalesce(_first_argument(args, V.TOOL_PATH_KEYS), F.lit("")), cwd, root)
 
 
 def clamp_text(clean: Column, limit: Column) -> Column:
     """Cut sanitized text to ``limit`` characters including the note of its full length."""
     n = F.length(clean)
-    note = F.concat(F.lit("…（原 "), n.cast("string"), F.lit(" 字符，已截断）"))
+    note = F.concat(F.lit(V.TOOL_CUT_NOTE[0]), n.cast("string"), F.lit(V.TOOL_CUT_NOTE[1]))
     body = F.greatest(F.lit(1), limit - F.length(note))
     return F.when(n <= limit, clean).otherwise(F.concat(clean.substr(F.lit(1), body), note))
 
 
 def tool_header(name: Column, target: Column) -> Column:
-    return F.concat(F.lit("【工具 "), name, F.lit(" 的结果 · "), target, F.lit("】\n"))
+    return F.concat(F.lit(V.TOOL_HEADER_START), name, F.lit(V.TOOL_HEADER_MIDDLE), target, F.lit(V.TOOL_HEADER_END))
 
 
 def body_of(text: Column) -> Column:
     """Stored tool text without its header and truncation note."""
-    bare = F.regexp_replace(text, "^【工具 [^\n]*的结果 · [^\n]*】\n?", "")
-    return F.regexp_replace(bare, "…（原 [0-9]+ 字符，已截断）?$", "")
+    bare = F.regexp_replace(text, V.TOOL_HEADER_PATTERN, "")
+    return F.regexp_replace(bare, V.TOOL_CUT_PATTERN, "")
 
 
 def target_of(text: Column, title: Column) -> Column:
     """Target named in a stored header, else in the title."""
-    from_text = F.regexp_extract(text, "^【工具 [^\n]*?的结果 · ([^\n]*)】", 1)
-    from_title = F.regexp_extract(title, "^工具 [^：]*：(.*)$", 1)
+    from_text = F.regexp_extract(text, V.TOOL_TARGET_PATTERN, 1)
+    from_title = F.regexp_extract(title, V.TOOL_TITLE_PATTERN, 1)
     return F.when(from_text != "", from_text).otherwise(from_title)
 
 
@@ -99,7 +94,7 @@ WHOLE_TEXT = (1 << 31) - 1
 
 
 def tool_blocks(
-    results: DataFrame, calls: DataFrame, key: str, *, names: str = DEFAULT_NAMES,
+    results: DataFrame, calls: DataFrame, key: str, *, names: str = V.TOOL_NAMES,
     max_chars: int = 0, budget: int = 0, cwd: str = "/", own_root: str = "",
 ) -> DataFrame:
     """Kept tool results as blocks: ``key, seq, name, target, title, text, truncated``.

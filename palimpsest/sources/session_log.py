@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest import vocab as V
 
-LOG_NAME = r"session(\.v\d+)?\.jsonl(\.zstd)?$"
 _MAGIC = 0xFD2FB528
 _LINES = "path string, frames int, failed int, torn boolean, line_no bigint, line string"
 
@@ -102,7 +102,7 @@ def log_files(spark: SparkSession, root: str) -> DataFrame:
         .select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
     )
     parts = F.split("path", "/")
-    return found.where(F.col("path").rlike("/" + LOG_NAME)).select(
+    return found.where(F.col("path").rlike("/" + V.LOG_NAME)).select(
         F.element_at(parts, -2).alias("session"), F.element_at(parts, -3).alias("project"),
         "path", "bytes", "modified",
     )
@@ -146,7 +146,7 @@ def read_lines(spark: SparkSession, root: str, limit: int | None = None) -> Data
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "session*").load(root)
-        .where(F.col("path").rlike("/" + LOG_NAME))
+        .where(F.col("path").rlike("/" + V.LOG_NAME))
     )
     if limit is not None:
         found = found.where(F.col("length") <= limit)

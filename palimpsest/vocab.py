@@ -54,6 +54,35 @@ IDENTIFIER_MARKS = "._-/+#"
 IDENTIFIER_BREAK = r"[_\-./#+]|[a-z0-9][A-Z]"
 IDENTIFIER_SPLIT = r"[_\-./#+]+|(?<=[a-z0-9])(?=[A-Z])"
 
+# --- fixed values: tool results -------------------------------------------------------------
+TOOL_NAMES = "read, grep, glob, web_fetch, history_read"
+TOOL_TARGET_KEYS = [
+    "file_path", "filePath", "path", "pattern", "query", "url", "command", "description", "name",
+]
+TOOL_PATH_KEYS = ["file_path", "filePath", "path", "notebook_path"]
+TOOL_HEADER_START = "【工具 "
+TOOL_HEADER_MIDDLE = " 的结果 · "
+TOOL_HEADER_END = "】\n"
+TOOL_CUT_NOTE = ("…（原 ", " 字符，已截断）")
+TOOL_HEADER_PATTERN = "^【工具 [^\n]*的结果 · [^\n]*】\n?"
+TOOL_CUT_PATTERN = "…（原 [0-9]+ 字符，已截断）?$"
+TOOL_TARGET_PATTERN = "^【工具 [^\n]*?的结果 · ([^\n]*)】"
+TOOL_TITLE_PATTERN = "^工具 [^：]*：(.*)$"
+
+# --- fixed values: session logs -------------------------------------------------------------
+LOG_NAME = r"session(\.v\d+)?\.jsonl(\.zstd)?$"
+
+# --- fixed values: title lines --------------------------------------------------------------
+LINE_LEAD = r"^[#>\-*" + WS + "]+"
+TITLE_CUT_AT = "[。；，;., ]"
+CONTINUES_LOWER = r"^[a-z]"
+CONTINUES_MARK = r"^[)）,，。、；：;:.…\-|*>`\]]"
+CONTINUES_TAG = r"^[<>/]"
+FRAGMENT_END = "[,，、;；:：]$"
+FRAGMENT_WORD = "(?i)(into|and|via|with|to|for|of|the)$"
+FRAGMENT_START = r"^[)\]）】]"
+BRACKETS_OPEN, BRACKETS_CLOSE = "[（(]", "[）)]"
+
 # --- fixed values: sentences and conclusions --------------------------------------------------
 SENTENCE_END = "。！？；!?;"
 CONCLUSION_MARKERS = [
