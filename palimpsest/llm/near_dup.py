@@ -17,7 +17,7 @@ when 100 * |intersection| >= 75 * |union|.
    class found so far need no row of their own, since every link between different classes has an end
    outside it. Components over ``GROUP_SHINGLES`` are dealt into blocks: links to a few pivots are found in
    all blocks, then what is not in the largest class is held against every block, chunk by chunk.
-5. *Groups*: union-find inside a component; label propagation over the links of the dealt components.
+5. *Groups*: union-find inside a component; contraction of the links of the dealt components.
 
 No step caps members, candidates or pairs. Defined results: null text counts as empty; rows repeat as given;
 two rows with one doc_id and different texts are different documents; an empty table gives no rows. A null
