@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import scratch_path, shuffle_width
 
 FILE_BYTES = 8 << 20
+#: The fast level: less CPU for about a tenth more space.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 MIN_REVISIT_BYTES = 1000
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -93,7 +95,7 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
     (
         pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"))
         .repartition(files).mapInPandas(records, "value binary").select(F.col("value").cast("string"))
-        .write.mode("overwrite").option("lineSep", "\n").option("compression", "gzip").text(path)
+        .write.mode("overwrite").option("lineSep", "\n").options(**GZIP).text(path)
     )
     return files
 
@@ -228,7 +230,7 @@ def convert(spark: SparkSession, arc: str, warc: str, files: int, min_bytes: int
     (
         open_files(spark, arc).repartition(files, "path").join(revisits.repartition(files, "path"), "path", "left")
         .select("content", "revisits").mapInPandas(of, "value binary").select(F.col("value").cast("string"))
-        .write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc)
+        .write.mode("overwrite").option("lineSep", "\r\n\r\n").options(**GZIP).text(warc)
     )
 
 
