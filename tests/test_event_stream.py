@@ -77,7 +77,7 @@ def batch_plan(spark, root):
 @pytest.fixture(scope="module")
 def sessions():
     rng = random.Random(11)
-    return {f"s{i}": session_lines(rng, n, f"s{i}") for i, n in enumerate((42, 60, 15))}
+    return {f"s{i}": session_lines(rng, n, f"s{i}") for i, n in enumerate((42, 60))}
 
 
 def test_dispatch(spark, tmp_path, sessions):
@@ -104,7 +104,7 @@ def test_stream_gives_the_records_of_the_batch_plan(spark, tmp_path, sessions):
     ingest = EventIngest(spark, str(tmp_path / "store"), delay="10 days")
 
     def run(target=ingest, checkpoint=ckpt):
-        query = target.start(line_stream(spark, root, files_per_batch=2), checkpoint)
+        query = target.start(line_stream(spark, root, files_per_batch=4), checkpoint)
         query.awaitTermination()
         assert query.exception() is None
 
