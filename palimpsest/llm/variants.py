@@ -375,6 +375,9 @@ def near_pairs(dealt: DataFrame, asking: int = ASKING) -> DataFrame:
             return flat.reshape(len(vec), LEVELS).astype(np.int32) - BASE
 
         def solve(cell: str, stored: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+            # words of one vector keep the order in which the trie holds them: it must be the same in every slice,
+            # or a pair asked from two slices is found twice or never
+            stored = stored.sort_values("word")
             words, n = [*stored["word"], *asks["word"]], np.concatenate([stored["n"], asks["n"]]).astype(np.int64)
             own = asks["own"].to_numpy(bool)
             place = {w: i for i, w in enumerate(stored["word"])}

@@ -230,6 +230,20 @@ def test_variants_of_made_words(spark, top, subtree, asking):
     assert any(w[1] and w[2] != w[1] for w in wanted)
 
 
+def test_slices_hold_their_words_in_one_order(spark):
+    """A pair of words of one vector asked from two slices is found once, however the rows of the slices arrive."""
+    words, vec = ["abcdefg", "abcdefh", "abcdefi"], chr(variants.BASE + 1) * variants.LEVELS
+    for turned in (False, True):
+        rows = []
+        for cell, asks in (("|0|0", words[:1]), ("|0|1", words[1:])):
+            held = words[::-1] if turned == (cell == "|0|0") else words
+            rows += [(cell, False, w, 2, vec, False, False, False) for w in held]
+            rows += [(cell, True, w, 2, vec, False, False, True) for w in asks]
+        dealt = spark.createDataFrame(rows, variants.CELL).coalesce(1)
+        got = sorted((r["word"], r["other"]) for r in variants.near_pairs(dealt).collect())
+        assert got == sorted((a, b) for a in words for b in words if a != b)
+
+
 def test_variants_of_documents(spark):
     rng = random.Random(6)
     words = list(made_words(rng, 40))
