@@ -326,7 +326,8 @@ def fresh_hits(
     if dedupe and injected is not None:
         rows = settle(rows.drop("_seen_fp", "_seen_text"))
         fps = injected.where("fp is not null").select("session", "fp", F.lit(True).alias("_seen_fp")).distinct()
-        lines = injected.select("session", F.col("line").alias("_shown")).distinct().withColumn("_line", K.token_set(F.col("_shown")))
+        shown = settle(injected.select("session", F.col("line").alias("_shown")).distinct())
+        lines = settle(shown.withColumn("_line", K.token_set(F.col("_shown"))))
         alike = similar_pairs(rows, lines, ["session"], ["query_id", "place"], ["_shown"], "_line", V.NEAR_DUPLICATE)
         seen = alike.select(*ident, F.lit(True).alias("_seen_text")).distinct()
         rows = (

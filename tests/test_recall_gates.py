@@ -68,3 +68,18 @@ def test_history_falls_back_to_the_log(spark):
     with pytest.raises(ValueError):
         read(source="elsewhere")
     assert history_read(index, records.where(F.lit(False)), turns.where("false"), asked.where("false")).count() == 0
+
+
+def test_shown_lines_are_made_once(spark):
+    """The lines that earlier turns showed are costly: each is made once, however many steps read it."""
+    picked = spark.createDataFrame([(1, "s", 1, "f1", "T1", WORDS[1])], "query_id int, session string, place int, fp string, title string, text string")
+    made = spark.sparkContext.accumulator(0)
+
+    def line(text):
+        made.add(1)
+        return text
+
+    rows = spark.createDataFrame([("s", f"f{i}", WORDS[i]) for i in range(2, 7)], "session string, fp string, text string")
+    shown = rows.select("session", "fp", F.udf(line, "string")("text").alias("line"))
+    assert [r.drop_reason for r in fresh_hits(picked, injected=shown).collect()] == [None]
+    assert made.value == 5
