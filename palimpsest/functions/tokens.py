@@ -14,9 +14,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``.
 
     A Column used twice is an expression tree copied twice; binding it as a lambda variable
-    keeps long expressions linear.
+    keeps long expressions linear. The binding is the start value of an empty fold: reading an item of
+    an array instead makes Spark derive the type of everything nested below it for every row, twice a level.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def ws_class(pattern: str) -> str:
