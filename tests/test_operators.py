@@ -226,3 +226,24 @@ def test_restore_counts_second_time_restores_nothing(spark):
     assert [tuple(r) for r in M.restore_counts(trash, empty).collect()] == [("t", 2, 2)]
     back = M.restorable(trash, empty)
     assert [tuple(r) for r in M.restore_counts(trash, back).collect()] == [("t", 0, 4)]
+
+
+def test_text_work_widens_with_the_bytes(spark, monkeypatch):
+    """Tasks share the texts by bytes, not by a fixed number of partitions."""
+    import palimpsest.session as session
+    from palimpsest.operators.index import build_index
+    from palimpsest.operators.records import finish_records
+
+    schema = ("session string, ord bigint, layer string, compaction_id string, at string, turn int, seq_start bigint, "
+              "seq_end bigint, shadowed_tokens bigint, text string, src string, tool string")
+    rows = [("s", i, "raw", "c", None, None, None, i, None, f"word{i} other{i} " * 5, None, None) for i in range(40)]
+    blocks = spark.createDataFrame(rows, schema)
+    assert session.text_parts(blocks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.text_parts(blocks.where("false")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = sorted(map(tuple, build_index(finish_records(blocks)).postings.collect()))
+    monkeypatch.setattr(session, "TASK_BYTES", 500)
+    parts = session.text_parts(blocks)
+    assert parts == -(-sum(len(r[9]) for r in rows) // 500) > 4
+    postings = build_index(session.settle(finish_records(blocks, parts=parts))).postings
+    assert postings.rdd.getNumPartitions() == parts
+    assert sorted(map(tuple, postings.collect())) == whole
