@@ -13,6 +13,7 @@ from palimpsest.functions import sentences as N
 from palimpsest.functions import timewords as W
 from palimpsest.functions import titles as T
 from palimpsest.functions import tokens as K
+from palimpsest.functions.counting import text_tokens
 from palimpsest.operators.records import keywords_by_id
 from palimpsest.sources.tables import table
 
@@ -24,7 +25,7 @@ def _docs(spark, sf_dir):
 
 
 def _digest(col):
-    return F.sha1(F.array_join(F.array_sort(col), " "))
+    return F.sha1(F.array_join(F.sort_array(col), " "))
 
 
 def _big(col):
@@ -36,7 +37,7 @@ _TOKEN_SQL = """SELECT doc_id, len(toks) AS n_tokens, len(list_distinct(toks)) A
 
 
 def _token_rows(df):
-    return df.withColumn("toks", K.tokens(F.col("text"))).select(
+    return df.withColumn("toks", text_tokens(F.col("text"))).select(
         "doc_id", _big(F.size("toks")).alias("n_tokens"),
         _big(F.size(F.array_distinct("toks"))).alias("n_distinct"),
         _digest(F.col("toks")).alias("digest"),

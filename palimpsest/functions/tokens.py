@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from palimpsest import vocab as V
 
 
+FLOOR_CHARS = 400
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``.
 
@@ -111,7 +114,11 @@ def token_set(text: Column) -> Column:
 
 def evidence_floor(text: Column) -> Column:
     """Matched tokens a block needs before it may be returned for this query."""
-    return F.least(F.lit(V.EVIDENCE_FLOOR), F.size(F.array_distinct(surface_terms(text))))
+    whole = F.size(F.array_distinct(surface_terms(text)))
+    # no token holds a space: a beginning that ends before one shows the text's own first tokens
+    begun = F.regexp_replace(F.substring(text, 1, FLOOR_CHARS), "[^ ]*$", "")
+    settled = (F.length(text) > FLOOR_CHARS) & (F.size(F.array_distinct(surface_terms(begun))) >= V.EVIDENCE_FLOOR)
+    return F.when(settled, F.lit(V.EVIDENCE_FLOOR)).otherwise(F.least(F.lit(V.EVIDENCE_FLOOR), whole))
 
 
 def estimate_tokens(text: Column) -> Column:

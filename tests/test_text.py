@@ -151,3 +151,26 @@ def test_recall_line_keeps_the_answer_only_once(spark):
     text = "问：q\n答：we 决定 to keep it!\nAnother remark follows!"
     (line,) = run(spark, [text], lambda t: recall_line(F.lit("T"), t, 300))
     assert line.count("决定") == 1
+
+
+def test_counted_tokens_are_the_column_tokens(spark):
+    """Whole texts are tokenized in plain Python: the same tokens in the same order, and the same counts."""
+    from collections import Counter
+
+    from palimpsest.functions.counting import text_tokens, token_counts
+
+    rng = random.Random(5)
+    bits = ["the", "The", "on.", "of.", "camelCase", "snake_case", "HTTPServer2Go", "a-b_c/d.e", "x", "3.14", "12.", "v1.2", "天", "的", "的了",
+            "结论决定的天气", "カタカナ", "한국어", "é", "naïve", "İx", "Kelvin", "　", "\n", "++", "a1B", "A", "for-the-win", "aBaB", "𠀀天"]
+    rows = ["", None, *("".join(rng.choice(bits) + rng.choice(["", " ", ", "]) for _ in range(60)) for _ in range(150))]
+    want = run(spark, rows, K.tokens)
+    assert run(spark, rows, text_tokens) == want
+    assert [token_counts(t) for t in rows] == [Counter(w) for w in want]
+
+
+def test_evidence_floor_of_long_texts(spark):
+    """The beginning settles the floor only if it holds enough different words."""
+    same = "alpha " * 200
+    rows = [same, same + "beta", same + "beta gamma delta", "one two three four five " * 60, "天气" * 600, "x" * 399 + "yz " + same]
+    whole = lambda t: F.least(F.lit(4), F.size(F.array_distinct(K.surface_terms(t))))
+    assert run(spark, rows, K.evidence_floor) == run(spark, rows, whole) == [1, 2, 4, 4, 2, 2]
