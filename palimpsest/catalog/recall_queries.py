@@ -61,7 +61,7 @@ def similar_records(spark, sf_dir):
     begun = F.array_join(F.slice(F.split("text", " "), 1, _FIRST_WORDS), " ")
     rows = stored_records(spark, sf_dir).select("session", "ord", K.token_set(begun).alias("line"))
     found = similar_pairs(
-        rows, rows.withColumnRenamed("ord", "other"), ["session"], ["ord"], ["other"], "line", V.NEAR_DUPLICATE,
+        rows, None, ["session"], ["ord"], ["other"], "line", V.NEAR_DUPLICATE,
         strict=F.col("ord") < F.col("other"),
     )
     return found.withColumn("likeness", F.round("likeness", 9))
