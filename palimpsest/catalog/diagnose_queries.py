@@ -14,6 +14,7 @@ from palimpsest.operators import turns as T
 from palimpsest.operators.ordered import top_per_key
 from palimpsest.operators.rollups import score_bands
 from palimpsest.operators.search import query_terms, search
+from palimpsest.session import offered
 from palimpsest.sources.tables import conversation_events, document_blocks, questions, table
 
 registry = Registry()
@@ -52,7 +53,7 @@ SELECT query_id, session, token FROM qt WHERE NOT EXISTS (SELECT 1 FROM terms t
 def absent_terms(spark, sf_dir):
     """Set difference: the question's tokens that its session does not know."""
     terms = query_terms(asked(spark, sf_dir)).select("query_id", "session", "token")
-    return terms.join(_index(spark, sf_dir).terms, ["session", "token"], "left_anti").select(
+    return terms.join(_index(spark, sf_dir).terms_of(terms), ["session", "token"], "left_anti").select(
         "query_id", "session", "token"
     )
 
@@ -101,7 +102,7 @@ pool AS (SELECT h.*, h.rank AS place, r.text FROM hits h JOIN kept r USING (sess
 def _pool(spark, sf_dir):
     hits = search(_index(spark, sf_dir), questions(spark, sf_dir), limit=120)
     texts = document_blocks(spark, sf_dir).select("session", "ord", "text")
-    return D.candidate_pool(hits).join(texts, ["session", "ord"])
+    return offered(D.candidate_pool(hits)).join(texts, ["session", "ord"])
 
 
 @registry.add(

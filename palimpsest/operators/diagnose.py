@@ -25,7 +25,7 @@ def coverage(index: BlockIndex, questions: DataFrame) -> DataFrame:
         *ASK, F.col("pos"), F.col("col").alias("token")
     )
     known = tokens.join(
-        index.terms.select("session", "token", F.lit(True).alias("_known")),
+        index.terms_of(tokens).select("session", "token", F.lit(True).alias("_known")),
         ["session", "token"], "left",
     )
     missing = F.array_sort(

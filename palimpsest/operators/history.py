@@ -10,6 +10,7 @@ from palimpsest.operators.diagnose import history
 from palimpsest.operators.index import BlockIndex
 from palimpsest.operators.ordered import top_per_key
 from palimpsest.operators.search import search
+from palimpsest.session import offered
 
 SOURCES = ("auto", "store", "log")
 COLUMNS = ["query_id", "session", "place", "text"]
@@ -17,7 +18,9 @@ COLUMNS = ["query_id", "session", "place", "text"]
 
 def _latest(asked: DataFrame, rows: DataFrame, order: str, text: Column, limit: int) -> DataFrame:
     """The last ``limit`` rows of each question's session, oldest first."""
-    last = top_per_key(rows.select("session", order, text.alias("text")), ["session"], [F.desc(order)], limit, "_back")
+    wanted = offered(asked.select("session").distinct())
+    own = rows.select("session", order, text.alias("text")).join(wanted, "session", "left_semi")
+    last = top_per_key(own, ["session"], [F.desc(order)], limit, "_back")
     # places follow the rows that there are; a session has at most ``limit`` of them
     count = last.groupBy("session").agg(F.max("_back").alias("_n"))
     placed = last.join(count, "session").withColumn("place", F.col("_n") - F.col("_back") + 1)
@@ -27,7 +30,7 @@ def _latest(asked: DataFrame, rows: DataFrame, order: str, text: Column, limit:
 def _from_store(index: BlockIndex, records: DataFrame, named: DataFrame, blank: DataFrame, limit: int) -> DataFrame:
     hits = search(index, named, limit=limit, layers=["raw"]).select("query_id", "session", "ord", F.col("rank").alias("place"))
     raw = records.where("layer = 'raw'")
-    found = hits.join(raw.select("session", "ord", "text"), ["session", "ord"]).select(*COLUMNS)
+    found = offered(hits).join(raw.select("session", "ord", "text"), ["session", "ord"]).select(*COLUMNS)
     return found.unionByName(_latest(blank, raw, "ord", F.col("text"), limit))
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest import vocab as V
 from palimpsest.functions import tokens as K
-from palimpsest.operators.records import first_occurrences
-from palimpsest.session import settle, text_parts
+from palimpsest.functions.counting import token_counts
+from palimpsest.operators.records import first_occurrences, first_ords
+from palimpsest.session import offered, settle, stored, text_parts
 
 
 @dataclass(frozen=True)
@@ -20,6 +26,7 @@ class BlockIndex:
     postings: session, ord, layer, token, tf, len      blocks: session, ord, layer, fp, at, …
     terms: session, token, df                          corpus: session, n, avgdl
     records: what it was built from, if it is not stored yet
+    counted: whether ``terms`` is a table already, not yet to be counted from the postings
     """
 
     postings: DataFrame
@@ -27,10 +34,19 @@ class BlockIndex:
     terms: DataFrame
     corpus: DataFrame
     records: DataFrame | None = None
+    counted: bool = False
+
+    def terms_of(self, asked: DataFrame) -> DataFrame:
+        """Rows of ``terms`` for the tokens of ``asked`` (token[, session]); no other token is counted."""
+        on = ["session", "token"] if "session" in asked.columns else ["token"]
+        wanted = offered(asked.select(*on).distinct())
+        if self.counted:
+            return self.terms.join(wanted, on, "left_semi")
+        return term_stats(self.postings.join(wanted, on, "left_semi"))
 
     def settled(self) -> BlockIndex:
         """Write postings and block statistics once; the small tables derive from them."""
-        postings = settle(self.postings)
+        postings = stored(self.postings, "postings")
         return assemble(postings, settle(self._blocks(postings)))
 
     def _blocks(self, postings: DataFrame) -> DataFrame:
@@ -53,7 +69,7 @@ def read_index(spark: SparkSession, path: str) -> BlockIndex:
     def load(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}")
 
-    return BlockIndex(load("postings"), load("blocks"), load("terms"), load("corpus"))
+    return BlockIndex(load("postings"), load("blocks"), load("terms"), load("corpus"), counted=True)
 
 
 def with_field_tokens(records: DataFrame) -> DataFrame:
@@ -83,32 +99,71 @@ def block_stats(records: DataFrame) -> DataFrame:
 
 
 def stats_from(records: DataFrame, postings: DataFrame) -> DataFrame:
-    """``block_stats`` of ``records`` whose postings are there already; texts stay where they are."""
+    """``block_stats`` of the first occurrences in ``records`` whose postings are there already; texts stay where they are."""
     counted = postings.groupBy("session", "ord").agg(F.max("len").alias("len"), F.count("*").cast("int").alias("terms"))
     facts = records.select(
         *BLOCK_FACTS, K.conclusion_score(F.col("text")).alias("concl"), K.is_blank(F.col("text")).alias("blank")
     )
-    return facts.join(counted, ["session", "ord"], "left").select(
+    kept = facts.join(first_ords(records), "ord", "left_semi")
+    return kept.join(counted, ["session", "ord"], "left").select(
         *BLOCK_FACTS, F.coalesce("len", F.lit(0.0)).alias("len"), F.coalesce("terms", F.lit(0)).alias("terms"), "concl", "blank"
     )
 
 
-def postings_of(records: DataFrame) -> DataFrame:
-    """Weighted term counts per block; counted where the block lies, without a token shuffle."""
+POSTING_ROWS = 1 << 17
 
-    def weigh(name: str, weight: int) -> Column:
-        return F.transform(name, lambda t: F.struct(t.alias("token"), F.lit(weight).alias("w")))
 
-    entries = F.concat(
-        weigh("_title", V.WEIGHT_TITLE),
-        weigh("_words", V.WEIGHT_KEYWORDS),
-        weigh("_text", V.WEIGHT_TEXT),
-    )
+def postings_of(records: DataFrame) -> DataFrame:
+    """Weighted term counts per block. Rows must lie in partitions by ``ord``: a block's tokens are counted where
+    its text lies, without a token shuffle, and a task holds one batch of texts and ``POSTING_ROWS`` entries."""
+    facts = records.select("session", "ord", "layer").schema.fields
+    schema = T.StructType([
+        *facts, T.StructField("token", T.StringType()), T.StructField("tf", T.DoubleType()), T.StructField("len", T.DoubleType()),
+    ])
+    weights = (V.WEIGHT_TITLE, V.WEIGHT_KEYWORDS, V.WEIGHT_TEXT)
+
+    def weigh(fields: tuple[str | None, ...]) -> tuple[float, Counter[str]]:
+        held: Counter[str] = Counter()
+        for field, weight in zip(fields, weights):
+            for token, n in token_counts(field).items():
+                held[token] += n * weight
+        return float(held.total()), held
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, blocks, rows, last = [], [], 0, None
+
+        def made() -> pa.RecordBatch:
+            sizes = [len(held) for _, held in blocks]
+            at = pa.array(np.repeat(np.arange(len(keys)), sizes))
+            columns = [pa.array(c, f).take(at) for c, f in zip(zip(*keys), kinds)]
+            tokens = pa.array([t for _, held in blocks for t in held], pa.string())
+            tf = pa.array(np.fromiter((n for _, held in blocks for n in held.values()), np.float64, sum(sizes)))
+            length = pa.array(np.repeat([n for n, _ in blocks], sizes))
+            return pa.RecordBatch.from_arrays([*columns, tokens, tf, length], schema.names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in ("session", "ord", "layer")]
+            cells = (batch.column(c).to_pylist() for c in ("session", "ord", "layer", "title", "_words", "text"))
+            for session, order, layer, *fields in zip(*cells):
+                key, (length, held) = (session, order, layer), weigh(fields)
+                if key != last:
+                    if rows >= POSTING_ROWS:
+                        yield made()
+                        keys, blocks, rows = [], [], 0
+                    last, same = key, {}
+                rows += len(held)
+                if length in same:  # a repeated block adds to the first
+                    same[length].update(held)
+                elif held:
+                    same[length] = held
+                    keys.append(key)
+                    blocks.append((length, held))
+        if keys:
+            yield made()
+
+    texts = records.select("session", "ord", "layer", "title", F.array_join("keywords", " ").alias("_words"), "text")
     return (
-        with_field_tokens(records)
-        .select("session", "ord", "layer", _length().alias("len"), F.explode(entries).alias("e"))
-        .groupBy("session", "ord", "layer", "len", F.col("e.token").alias("token"))
-        .agg(F.sum("e.w").cast("double").alias("tf"))
+        texts.sortWithinPartitions("ord", "session", "layer").mapInArrow(entries, schema)
         .select("session", "ord", "layer", "token", "tf", "len")
     )
 
@@ -131,4 +186,4 @@ def build_index(records: DataFrame) -> BlockIndex:
     kept = first_occurrences(records)
     wide = first_occurrences(records, text_parts(records))
     index = assemble(postings_of(wide), block_stats(kept))
-    return replace(index, records=kept)
+    return replace(index, records=records)

@@ -9,6 +9,7 @@ from palimpsest import vocab as V
 from palimpsest.functions import tokens as K
 from palimpsest.operators.index import BlockIndex
 from palimpsest.operators.ordered import top_per_key
+from palimpsest.session import offered, settle
 
 SCORE_DIGITS = 9
 
@@ -36,7 +37,7 @@ def weighted_terms(index: BlockIndex, terms: DataFrame) -> DataFrame:
     """Query terms present in the index with their idf, per session the query is asked in."""
     on = ["session", "token"] if "session" in terms.columns else ["token"]
     return (
-        terms.join(index.terms, on)
+        terms.join(index.terms_of(terms), on)
         .join(index.corpus, "session")
         .withColumn("idf", idf(F.col("n"), F.col("df")))
     )
@@ -76,8 +77,8 @@ def search(
     """
     if "segment" not in queries.columns:
         queries = queries.withColumn("segment", F.lit(0))
-    weighted = weighted_terms(index, query_terms(queries, min_matched))
-    side = weighted.select("query_id", "segment", "session", "token", "idf", "avgdl")
+    weighted = settle(weighted_terms(index, query_terms(queries, min_matched)))
+    side = offered(weighted.select("query_id", "segment", "session", "token", "idf", "avgdl"))
     postings = index.postings
     if layers is not None:
         postings = postings.where(F.col("layer").isin(layers))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 TASK_BYTES = 4 << 20
+BROADCAST_ROWS = 100_000
 
 
 def local_session(app: str = "palimpsest", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -57,6 +58,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as parquet to the shared folder and read it back: readers take only the columns they need,
+    and the planner knows its size."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def offered(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``side`` settled, and marked for broadcast if it has at most ``rows`` rows, so that a large table it is
+    joined with stays where it lies."""
+    side = settle(side)
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+
+
 def text_parts(df: DataFrame, text: str = "text") -> int:
     """How many partitions keep a task's share of ``text`` near ``TASK_BYTES``; one slim pass counts the bytes.
 

@@ -247,3 +247,45 @@ def test_text_work_widens_with_the_bytes(spark, monkeypatch):
     postings = build_index(session.settle(finish_records(blocks, parts=parts))).postings
     assert postings.rdd.getNumPartitions() == parts
     assert sorted(map(tuple, postings.collect())) == whole
+
+
+def test_questions_leave_the_postings_where_they_lie(spark):
+    """Few questions are sent to the postings; the vocabulary is neither counted nor shuffled for them."""
+    from palimpsest.operators.diagnose import coverage
+
+    schema = ("session string, ord bigint, layer string, compaction_id string, at string, turn int, seq_start bigint, "
+              "seq_end bigint, shadowed_tokens bigint, text string, src string, tool string")
+    rows = [("s", i, "raw", "c", None, None, None, i, None, f"word{i} alpha beta{i % 7}", None, None) for i in range(60)]
+    index = build_index(finish_records(spark.createDataFrame(rows, schema))).settled()
+    asked = spark.createDataFrame([(1, "s", "alpha word3 nothing"), (2, "t", "alpha")], "query_id bigint, session string, text string")
+    known = index.terms_of(spark.createDataFrame([("s", "alpha"), ("s", "nothing"), ("t", "alpha")], "session string, token string"))
+    assert [tuple(r) for r in known.collect()] == [("s", "alpha", 60)]
+    covered = coverage(index, asked)
+    assert sorted((r.query_id, r.total, r.present, r.absent) for r in covered.collect()) == [(1, 3, 2, ["nothing"]), (2, 1, 0, ["alpha"])]
+    plan = search(index, asked)._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("postings")
+    assert "BroadcastHashJoin" in plan and "Exchange" not in plan[plan.rindex("BroadcastHashJoin", 0, scan):scan].replace("BroadcastExchange", "")
+
+
+def test_keywords_and_postings_of_repeated_ords(spark):
+    """Rows that share an ``ord`` count together, wherever a batch ends."""
+    from palimpsest.operators.index import postings_of
+    from palimpsest.operators.records import keywords_by_id
+
+    texts = [(1, "red red blue"), (1, "blue green"), (None, "lost words"), (2, ""), (3, None), (4, "one two"), (4, "two"), (4, "two")]
+    df = spark.createDataFrame(texts, "id bigint, text string").withColumn("title", F.lit("green"))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        got = {r["id"]: r["keywords"] for r in keywords_by_id(df, "id", "text", "title", F.lit(2)).collect()}
+        blocks = df.select(
+            F.lit("s").alias("session"), F.col("id").alias("ord"), F.lit("raw").alias("layer"), F.lit("").alias("title"),
+            F.array().cast("array<string>").alias("keywords"), "text",
+        ).repartition(3, "ord")
+        counted = sorted((r["ord"] or 0, r.token, r.tf, r.len) for r in postings_of(blocks).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {None: ["lost", "words"], 1: ["green", "blue"], 4: ["two", "one"]}
+    assert counted == [
+        (0, "lost", 1.0, 2.0), (0, "words", 1.0, 2.0), (1, "blue", 1.0, 2.0), (1, "blue", 1.0, 3.0), (1, "green", 1.0, 2.0),
+        (1, "red", 2.0, 3.0), (4, "one", 1.0, 2.0), (4, "two", 1.0, 2.0), (4, "two", 2.0, 1.0),
+    ]
