@@ -10,10 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 
@@ -24,12 +22,13 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 CHUNK = re.compile(
     f" ?[{LATIN}]++(?=[.,;:!? \n]|\\Z)|[.,;:!?]++(?=[ \n]|\\Z)|\n(?=[^{SPACES}])|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+"
 )
+WORD = re.compile(f" ?[{LATIN}]+")
 UNSURE = "᠎"
 #: Chunks of a text with that character: cut only where white space begins whichever way it is read.
 UNSURE_CHUNK = re.compile(f"[{SPACES}{UNSURE}]*[^{SPACES}{UNSURE}]+(?:{UNSURE}[{SPACES}{UNSURE}]*(?:[^{SPACES}{UNSURE}]+|\\Z))*|[{SPACES}{UNSURE}]+")
 MEMO_ENTRIES = 600_000
 ID_ENTRIES = 300_000
-RUN = 500
+LATEST_ENTRIES = 100_000
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -82,60 +81,73 @@ def split_unseen(chunks: set[str], memo: Memo, entries: int = MEMO_ENTRIES) -> t
     return unseen[room:], unseen[:room]
 
 
+class Recurring(dict):
+    """Packed ids of chunks. A chunk is encoded when it is first asked for and held among the latest ones; asked for
+    again there, it stays for good while there is room."""
+
+    def __init__(self, encoded: Callable[[str], bytes]) -> None:
+        self.encoded = encoded
+        self.latest: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        latest = self.latest
+        ids = latest.get(chunk)
+        if ids is None:
+            ids = self.encoded(chunk)
+            if len(latest) >= LATEST_ENTRIES:
+                latest.clear()
+            latest[chunk] = ids
+        elif len(self) < ID_ENTRIES:
+            self[chunk] = latest.pop(chunk)
+        return ids
+
+
 class ChunkIds:
     """Token ids of whole texts as little-endian bytes, two bytes an id where the vocabulary allows it.
 
-    The memo holds a bounded number of chunks; the rest is encoded once per batch.
+    The memo holds a bounded number of chunks, and one text is cut at a time.
     """
 
     def __init__(self, name_or_path: str) -> None:
         self.tokenizer = load_tokenizer(name_or_path)
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.dtype = "<u2" if top < 65536 else "<u4"
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content[:1] == "<"]
-        self.mark = special[0] if special else None
-        self.memo = Memo()
+        self.letters = self._letters()
+        self.packed = [self.pack([i]) for i in range(top + 1)] if self.letters else []
+        self.memo = Recurring(self._chunk)
+
+    def _letters(self) -> dict[int, str] | None:
+        """What the model reads for each character of a ``WORD``, if a word reaches it whole and nothing else is done to it."""
+        before, special = self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
+        if self.tokenizer.normalizer is not None or before is None or any(t.content == " " or WORD.fullmatch(t.content) for t in special):
+            return None
+        chars = "".join(c for c in map(chr, range(256)) if WORD.fullmatch(c))
+        read = {c: before.pre_tokenize_str(c) for c in chars + " "}
+        if any(len(found) != 1 for found in read.values()):
+            return None
+        table = {ord(c): found[0][0] for c, found in read.items()}
+        for word in (chars, " " + chars):
+            if [piece for piece, _ in before.pre_tokenize_str(word)] != [word.translate(table)]:
+                return None
+        return table
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _fill(self, chunks: list[str], memo: dict[str, bytes]) -> None:
-        """Encode chunks many at a time: a special token between two keeps them apart and marks the cut."""
-        if self.mark is None:
-            plain = []
-        else:
-            plain = [c for c in chunks if "<" not in c]
-            chunks = [c for c in chunks if "<" in c]
-        size = np.dtype(self.dtype).itemsize
-        runs = [plain[lo : lo + RUN] for lo in range(0, len(plain), RUN)]
-        texts = [self.mark[0].join(run) for run in runs]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, self.dtype)
-            raw, low = ids.tobytes(), 0
-            for chunk, high in zip(run, [*(np.flatnonzero(ids == self.mark[1]) * size).tolist(), len(raw)]):
-                memo[chunk] = raw[low:high]
-                low = high + size
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            memo[chunk] = self.pack(e.ids)
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of one chunk; a word goes straight to the tokenizer's model."""
+        if self.letters and WORD.fullmatch(chunk):
+            packed = self.packed
+            return b"".join([packed[t.id] for t in self.tokenizer.model.tokenize(chunk.translate(self.letters))])
+        return self.pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
-        return [ids for some in slices(texts) for ids in self._encode(some, end)]
-
-    def _encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
-        memo = self.memo
-        cut = [CHUNK.findall(t) if t and UNSURE not in t else None for t in texts]
-        known = [list(map(memo.get, c)) if c else None for c in cut]
-        unseen = set().union(*(compress(c, map(is_, k, repeat(None))) for c, k in zip(cut, known) if c))
-        passing, lasting = split_unseen(unseen, memo, ID_ENTRIES)
-        new: dict[str, bytes] = {}
-        self._fill(lasting, new)
-        memo.update(new)
-        self._fill(passing, new)
         last = b"" if end is None else self.pack([end])
+        found = self.memo.__getitem__
         out = []
-        for text, chunks, ids in zip(texts, cut, known):
-            if chunks is not None:
-                out.append(b"".join([new[c] if i is None else i for i, c in zip(ids, chunks)]) + last)
+        for text in texts:
+            if text and UNSURE not in text:
+                out.append(b"".join(map(found, CHUNK.findall(text))) + last)
             else:
                 out.append(self.pack(self.tokenizer.encode(text or "", add_special_tokens=False).ids) + last)
         return out

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from palimpsest.llm import archives, html_text, token_counts, token_store
+from palimpsest.llm import archives, chunked, html_text, token_counts, token_store
 from palimpsest.llm.chunked import ChunkIds
 
 ODD = [
@@ -77,6 +77,22 @@ def test_chunked_ids_match_library():
             assert np.frombuffer(ids, c.dtype).tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_go_to_the_model_and_the_memo_stays_bounded(monkeypatch):
+    monkeypatch.setattr(chunked, "ID_ENTRIES", 5)
+    monkeypatch.setattr(chunked, "LATEST_ENTRIES", 7)
+    t, c = lib("byte_bpe_50k.json"), ChunkIds("byte_bpe_50k.json")
+    words = [a + b + e for a in ("über", "Año", "qu") for b in ("ll", "Ñý", "zz") for e in ("ÿa", "B", "thing")]
+    texts = [" ".join(words[i:] + words[:i]) for i in range(0, 27, 4)] + [" ".join(words[:5] * 9)]
+    wanted = [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+    class ModelOnly:
+        model = c.tokenizer.model
+
+    c.tokenizer = ModelOnly()
+    assert [np.frombuffer(ids, c.dtype).tolist() for ids in c.encode(texts)] == wanted
+    assert len(c.memo) == 5 and len(c.memo.latest) <= 7
+
+
 def brute_store(pairs):
     t = lib("byte_bpe_50k.json")
     out, start = [], 0
