@@ -104,7 +104,7 @@ def stats_from(records: DataFrame, postings: DataFrame) -> DataFrame:
     facts = records.select(
         *BLOCK_FACTS, K.conclusion_score(F.col("text")).alias("concl"), K.is_blank(F.col("text")).alias("blank")
     )
-    kept = facts.join(first_ords(records), "ord", "left_semi")
+    kept = facts.join(first_ords(records), "ord")
     return kept.join(counted, ["session", "ord"], "left").select(
         *BLOCK_FACTS, F.coalesce("len", F.lit(0.0)).alias("len"), F.coalesce("terms", F.lit(0)).alias("terms"), "concl", "blank"
     )

@@ -119,12 +119,15 @@ def identity_key() -> Column:
 
 
 def first_ords(records: DataFrame) -> DataFrame:
-    """``ord`` of the earliest record of each identity in a session."""
+    """``ord`` of the earliest record of each identity in a session, once.
+
+    Join it as an inner join: a semi join is pushed below the columns made from a text, or below the shuffle that spreads
+    texts, and then whole texts go through the session's shuffle width."""
     return (
         records.select("session", identity_key().alias("_key"), "ord")
         .groupBy("session", "_key")
         .agg(F.min("ord").alias("ord"))
-        .select("ord")
+        .select("ord").distinct()
     )
 
 
@@ -132,8 +135,10 @@ def first_occurrences(records: DataFrame, parts: int | None = None) -> DataFrame
     """One record per identity in a session, the earliest by ``ord``.
 
     Only (session, key, ord) is aggregated, with map-side combine, so a group of copies of any
-    size shrinks before the shuffle; the texts are then reached by a semi join on ``ord``. With
+    size shrinks before the shuffle; the texts are then reached by a join on ``ord``. With
     ``parts`` they are spread that wide before the join, which keeps the width.
     """
-    rows = records if parts is None else spread(records, "ord", parts=parts)
-    return rows.join(first_ords(records), "ord", "left_semi")
+    rows, first = records, first_ords(records)
+    if parts is not None:  # both sides, or the join moves the texts to the narrower one's width
+        rows, first = spread(rows, "ord", parts=parts), spread(first, "ord", parts=parts)
+    return rows.join(first, "ord").select(*records.columns)

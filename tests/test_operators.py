@@ -8,7 +8,7 @@ from palimpsest.operators import packing, timepos
 from palimpsest.operators.diagnose import verdicts
 from palimpsest.operators.index import build_index
 from palimpsest.operators.ordered import exact_rank, last_before, row_number
-from palimpsest.operators.records import finish_records
+from palimpsest.operators.records import finish_records, first_occurrences
 from palimpsest.operators.search import search
 from palimpsest.operators.tiers import segmented, two_tier
 from palimpsest.operators.turns import conversation_turns, in_ranges
@@ -289,3 +289,23 @@ def test_keywords_and_postings_of_repeated_ords(spark):
         (0, "lost", 1.0, 2.0), (0, "words", 1.0, 2.0), (1, "blue", 1.0, 2.0), (1, "blue", 1.0, 3.0), (1, "green", 1.0, 2.0),
         (1, "red", 2.0, 3.0), (4, "one", 1.0, 2.0), (4, "two", 1.0, 2.0), (4, "two", 2.0, 1.0),
     ]
+
+
+def test_texts_of_first_occurrences_are_spread_once(spark):
+    rows = [("s", i, "raw", f"t{i}", f"f{i % 5}", f"text {i}") for i in range(20)] + [("s", 3, "raw", "t3", "f3", "text 3")]
+    rows.append(("s", None, "raw", "t", "f9", "no order"))
+    records = spark.createDataFrame(rows, "session string, ord long, layer string, title string, fp string, text string")
+    kept = ["spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        spark.conf.set(kept[0], "false")
+        spark.conf.set(kept[1], "-1")
+        wide = first_occurrences(records, 9)
+        plan = wide._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index("RepartitionByExpression")  # texts are not joined before they are spread
+        assert wide.rdd.getNumPartitions() == 9
+        assert wide.columns == records.columns
+        assert sorted(r["ord"] for r in wide.collect()) == [0, 1, 2, 3, 3, 4]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
