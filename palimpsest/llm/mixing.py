@@ -5,7 +5,8 @@ its stream. The output is a row of shards with a fixed number of block slots. Pe
 to sources by a multinomial draw of the fractions that the exact shares leave open (each source first gets
 the whole number of slots that its running share has reached), so the mix stays within a few blocks of its
 targets at any size. A source's n-th slot takes the block at place n mod B of a pseudorandom permutation of
-its B blocks, keyed by source and pass; blocks and documents are then joined by block number.
+its B blocks, keyed by source and pass; blocks and documents are then joined by block number, in stretches of
+``STRETCH`` blocks, by a shuffle: the slots grow with the input and are never broadcast.
 
 ``targets`` deals the sum of all sizes by weight; no source gets more than ``limit`` times its size, and what
 is over goes to the others by weight, again and again: that is one level L with sum(min(limit * size, L *
@@ -37,6 +38,8 @@ from palimpsest.operators.ordered import running_sum
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3
 BLOCK = 64
+STRETCH = 128
+SLOTS_AT_ONCE = 100_000
 SHARD_SLOTS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 4
@@ -153,7 +156,7 @@ def slots(docs: DataFrame, mix: pd.DataFrame, limit: int = LIMIT, shard_slots: i
         for batch in batches:
             place, n, shard = (batch[c].to_numpy(np.int64) for c in ("place", "n", "shard"))
             first = batch["before"].to_numpy(np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // 500_000)) + 1).tolist(), len(n)]
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // SLOTS_AT_ONCE)) + 1).tolist(), len(n)]
             for lo, hi in zip(cuts, cuts[1:]):
                 k = n[lo:hi]
                 nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k - first[lo:hi], k)
@@ -180,20 +183,35 @@ def pieces(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = L
     the document) and times, how often the mix takes that part. Documents without words have one empty part."""
     rows = written(streams(docs, **names), "streams")
     aims = written(targets(rows, weights, limit), "targets")
-    taken = slots(docs, shares(aims, block), limit).groupBy("place", "block").agg(F.count(F.lit(1)).alias("times"))
-    end = F.col("start") + F.col("size")
-    parts = (
+    taken = (
+        slots(docs, shares(aims, block), limit).withColumn("stretch", F.floor(F.col("block") / STRETCH))
+        .repartition("place", "stretch").groupBy("place", "stretch", "block").agg(F.count(F.lit(1)).alias("times"))
+        .groupBy("place", "stretch").agg(F.map_from_entries(F.collect_list(F.struct("block", "times"))).alias("_times"))
+    )
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    low, high = F.col("stretch") * STRETCH, F.col("stretch") * STRETCH + STRETCH - 1
+    # documents without words lie in no block; they are dealt out among numbers that no stretch has
+    nowhere = F.array(-1 - F.pmod(F.xxhash64("doc_id", "print", "copy"), F.lit(4096)))
+    spans = (
         rows.alias("r").join(aims.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
         .select("r.*", "t.source_size", "t.target", F.col("t.place").cast("long").alias("place"))
+        .withColumn("stretch", F.explode(F.when(
+            F.col("size") > 0, F.sequence(F.floor(first / STRETCH), F.floor(last / STRETCH))
+        ).otherwise(nowhere)))
+    )
+    # what Spark expects of the slots comes from the draws, a few kB at any size, so the join is not left to its size check
+    return (
+        spans.join(taken.hint("merge"), ["place", "stretch"], "left")
         .withColumn("block", F.explode_outer(F.when(
-            F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
+            F.col("size") > 0, F.sequence(F.greatest(first, low), F.least(last, high))
         )))
         .withColumns({
             "low": F.greatest(F.col("start"), F.col("block") * block) - F.col("start"),
-            "high": F.least(end, (F.col("block") + 1) * block) - F.col("start"),
+            "high": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start"),
+            "times": F.coalesce(F.element_at("_times", F.col("block")), F.lit(0)),
         })
+        .drop("stretch", "_times")
     )
-    return parts.join(taken, ["place", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mixed_sizes(docs: DataFrame, **how) -> DataFrame:
@@ -212,15 +230,17 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **
 
     n_chars, where there, counts the new text.
     """
+    # one column of one type holds the keys, null ones too, so that grouping and join need one shuffle of the texts
+    unit = lambda key, text_print: F.struct(key.alias("id"), F.coalesce(text_print, F.lit(0)).alias("print")).alias("_unit")
     parts = (
         pieces(docs, text=text, key=key, **how).where("times > 0")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), F.col("copy").alias("_copy"))
+        .groupBy(unit(F.col("doc_id"), F.col("print")), F.col("copy").alias("_copy"))
         .agg(F.collect_list(F.struct("low", "high", "times")).alias("_parts"))
     )
     cols = [F.col(f"`{c}`") for c in docs.columns]
     units = (
-        docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_print"), F.struct(*cols).alias("_row"))
-        .groupBy("_id", "_print").agg(F.first("_row").alias("_row"))
+        docs.select(unit(F.col(key), F.xxhash64(text)), F.struct(*cols).alias("_row"))
+        .groupBy("_unit").agg(F.first("_row").alias("_row"))
     )
 
     @F.pandas_udf("string")
@@ -240,8 +260,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **
             out.append(b"\n".join(passes).decode())
         return pd.Series(out)
 
-    on = F.col("u._id").eqNullSafe(F.col("p._id")) & (F.col("u._print") == F.col("p._print"))
-    new = units.alias("u").join(parts.alias("p"), on).select("u._row", cut(F.col(f"u._row.{text}"), F.col("p._parts")).alias("_text"))
+    new = units.join(parts.hint("merge"), "_unit").select("_row", cut(F.col(f"_row.{text}"), F.col("_parts")).alias("_text"))
     out = []
     for c in docs.columns:
         if c == text:

@@ -271,6 +271,34 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert got == +want
 
 
+def test_slots_and_texts_are_shuffled_once(spark):
+    """Slots grow with the input: they are not broadcast whatever Spark expects of their size; texts cross one shuffle."""
+    _, docs = mix_table(spark, seed=6, n=40)
+    for mixed in (mixing.mixed_sizes(docs), mixing.mixed_documents(docs)):
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.split("\n") if "BroadcastHashJoin [place" in x and ("block" in x or "stretch" in x)]
+    assert plan.split("Scan")[0].count("Exchange") == 1  # from the texts' scan to the result
+
+
+def test_pieces_by_stretches(spark, monkeypatch):
+    """Documents over many stretches of blocks: parts cover each whole, and each is taken as often as slots hold its block."""
+    rows, docs = mix_table(spark, seed=7, n=60)
+    docs = docs.union(spark.createDataFrame([(900, "hot", " ".join(["far"] * 2000), 0)], docs.schema))
+    whole = sorted(map(str, mixing.mixed_sizes(docs).collect()))
+    monkeypatch.setattr(mixing, "STRETCH", 3)
+    assert whole == sorted(map(str, mixing.mixed_sizes(docs).collect()))
+    aims = mixing.targets(mixing.streams(docs))
+    taken = Counter((r["place"], r["block"]) for r in mixing.slots(docs, mixing.shares(aims, mixing.BLOCK)).collect())
+    held = defaultdict(list)
+    for r in mixing.pieces(docs).collect():
+        assert r["times"] == (taken[r["place"], r["block"]] if r["size"] else 0)
+        held[r["doc_id"], r["print"], r["copy"], r["size"]].append((r["low"], r["high"]))
+    assert len(held) == len(rows) + 1
+    for (*_, size), parts in held.items():
+        parts.sort()
+        assert [0, *(high for _, high in parts)] == [*(low for low, _ in parts), size]
+
+
 def test_permutations():
     for n in (1, 2, 3, 64, 1000):
         for key in (1, 99):
