@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest import vocab as V
+from palimpsest.functions.lines import PIECE, SENTENCE, folded
 from palimpsest.functions.titles import strip_line_markup
 from palimpsest.functions.tokens import let, trim_ws
 
-_E = V.SENTENCE_END
-# A run and its optional terminator, or a lone terminator: no backtracking over long open texts.
-_PIECE = f"[^{_E}\n]+[{_E}]?|[{_E}]"
-_SENTENCE = f"[^{_E}]+[{_E}]?|[{_E}]"
-
-
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -26,42 +21,20 @@ def split_sentences(text: Column) -> Column:
     and cutting after every terminator gives the merged sentences in one linear pass.
     """
     pieces = F.filter(
-        F.transform(_all(F.coalesce(text, F.lit("")), _PIECE), strip_line_markup),
+        F.transform(_all(F.coalesce(text, F.lit("")), PIECE), strip_line_markup),
         lambda p: p != "",
     )
-    merged = F.transform(_all(F.array_join(pieces, " "), _SENTENCE), trim_ws)
+    merged = F.transform(_all(F.array_join(pieces, " "), SENTENCE), trim_ws)
     return F.filter(merged, lambda p: p != "")
 
 
-def collapse_repeats(text: Column) -> Column:
-    """A text that is one unit (8+ characters) said 2 to 12 times becomes that unit."""
-
-    def fold(t: Column) -> Column:
-        n = F.length(t)
-        out = F.when(n < 24, t)
-        for times in range(2, 13):
-            unit = F.floor(n / times).cast("int")
-            head = t.substr(F.lit(1), unit)
-            same = F.repeat(head, F.lit(times)) == t
-            out = out.when((n % times == 0) & (unit >= 8) & same, head)
-        return out.otherwise(t)
-
-    return let(text, fold)
-
-
 def fold_adjacent_sentences(text: Column) -> Column:
-    """Drop sentences equal to their left neighbour, then fold whole-text repeats."""
-
-    def fold(t: Column) -> Column:
-        def drop_equal(ss: Column) -> Column:
-            kept = F.filter(
-                ss, lambda x, i: (i == 0) | (x != F.coalesce(F.get(ss, i - 1), F.lit("")))
-            )
-            return F.when(F.size(ss) < 2, t).otherwise(collapse_repeats(F.array_join(kept, " ")))
+    """Drop sentences equal to their left neighbour, then fold whole-text repeats; made in batches."""
 
-        return let(split_sentences(t), drop_equal)
+    def made(texts: pa.Array) -> pa.Array:
+        return pa.array((folded(t.as_py()) for t in texts), pa.string())
 
-    return let(text, fold)
+    return F.arrow_udf(made, "string")(text)
 
 
 def sample_head_tail(text: Column, limit: Column | int, share: float | Column = 0.75) -> Column:
