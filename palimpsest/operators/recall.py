@@ -2,303 +2,32 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import vocab as V
 from palimpsest.functions import tokens as K
-from palimpsest.functions.sanitize import neutralize_headers
-from palimpsest.functions.sentences import (
-    fold_adjacent_sentences, sample_head_tail, split_sentences,
-)
-from palimpsest.functions.titles import is_table_row, source_label, strip_line_markup
+from palimpsest.functions.counting import text_tokens
+from palimpsest.functions.lines import line_of
+from palimpsest.functions.titles import source_label
 from palimpsest.functions.tokens import let
 from palimpsest.operators.similar import similar_pairs
 from palimpsest.session import settle, spread
 
-SHORTEST_QUOTE = 6
-LONGEST_QUOTE = 160
-LEAD_SHARE = 0.75
-NONE = "array<string>"
-
-
-def _nothing() -> Column:
-    return F.array().cast(NONE)
-
-
-def _seg(cur: Column, answers: Column, body: Column) -> Column:
-    return F.struct(cur.alias("cur"), answers.alias("answers"), body.alias("body"))
-
-
-def question_answer_lines(lines: Column) -> Column:
-    """``struct<answers, body>`` of cleaned lines; a header opens an answer until the next one."""
-
-    def step(acc: Column, line: Column) -> Column:
-        inline = F.regexp_extract(line, "(?s)^问：.*?答：(.*)$", 1)
-        answers = acc["answers"]
-        grown = F.concat(
-            F.slice(answers, F.lit(1), F.greatest(F.size(answers) - 1, F.lit(0))),
-            F.array(F.concat(F.element_at(answers, -1), F.lit("\n"), line)),
-        )
-        opened = lambda text: F.concat(answers, F.array(K.trim_ws(text)))
-        return (
-            F.when(line.rlike("(?s)^问：.*?答："), _seg(F.lit("a"), opened(inline), acc["body"]))
-            .when(line.startswith("问："), _seg(F.lit("q"), answers, acc["body"]))
-            .when(
-                line.startswith("答："),
-                _seg(F.lit("a"), opened(F.substring(line, 3, 2**31 - 1)), acc["body"]),
-            )
-            .when(acc["cur"] == "a", _seg(F.lit("a"), grown, acc["body"]))
-            .otherwise(_seg(acc["cur"], answers, F.concat(acc["body"], F.array(line))))
-        )
-
-    return F.aggregate(
-        lines,
-        _seg(F.lit(""), _nothing(), _nothing()),
-        step,
-        lambda a: F.struct(
-            F.filter(a["answers"], lambda x: x != "").alias("answers"), a["body"].alias("body")
-        ),
-    )
-
-
-def _drop_lead_repeats(sentences: Column, lead: Column) -> Column:
-    def drop(a: Column) -> Column:
-        head = K.trim_ws(a["lead"])
-        key = F.substring(head, 1, 40)
-        kept = F.filter(
-            a["ss"],
-            lambda s: ~(F.contains(head, s) | ((F.length(key) >= 40) & F.contains(s, key))),
-        )
-        return F.when(F.length(head) < SHORTEST_QUOTE, a["ss"]).otherwise(kept)
-
-    return let(F.struct(sentences.alias("ss"), lead.alias("lead")), drop)
-
-
-def _drop_said(sentences: Column, said: Column) -> Column:
-    def covers(s: Column):
-        def test(d: Column) -> Column:
-            near = (
-                (d == s) | F.startswith(d, s) | F.startswith(s, d)
-                | F.startswith(s, F.substring(d, 1, 40))
-                | ((F.length(d) >= 60) & F.contains(s, d))
-            )
-            return (F.length(d) >= SHORTEST_QUOTE) & near
-
-        return test
-
-    # Most pools repeat the lead word for word; the hash-based set difference settles those.
-    return let(
-        F.struct(sentences.alias("ss"), said.alias("said")),
-        lambda a: F.when(F.size(F.array_except(a["ss"], a["said"])) == 0, _nothing()).otherwise(
-            F.filter(a["ss"], lambda s: ~F.exists(a["said"], covers(s)))
-        ),
-    )
-
-
-def _fitting(sentences: Column, limit: Column) -> Column:
-    """How many leading sentences fit when joined by spaces, with their total length."""
-
-    def step(acc: Column, s: Column) -> Column:
-        cost = F.length(s) + F.when(acc["n"] == 0, 0).otherwise(1)
-        fits = ~acc["full"] & (acc["used"] + cost <= limit)
-        return F.struct(
-            (acc["n"] + fits.cast("int")).alias("n"),
-            (acc["used"] + F.when(fits, cost).otherwise(0)).alias("used"),
-            (~fits).alias("full"),
-        )
-
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(False).alias("full"))
-    return F.aggregate(sentences, zero, step)
-
-
-def _head_and_tail(sentences: Column, limit: Column) -> Column:
-    """Whole sentences from both ends within ``limit`` characters, joined by an ellipsis."""
-
-    def with_head(a: Column) -> Column:
-        room = F.greatest(F.lit(1), F.floor((a["m"] - 1) * LEAD_SHARE).cast("int"))
-        return let(
-            F.struct(a["ss"].alias("ss"), a["m"].alias("m"), a["all"].alias("all"),
-                     _fitting(a["ss"], room).alias("head")),
-            with_tail,
-        )
-
-    def with_tail(a: Column) -> Column:
-        rest = F.slice(a["ss"], a["head"]["n"] + 1, F.greatest(F.size(a["ss"]), F.lit(1)))
-        return let(
-            F.struct(a["ss"].alias("ss"), a["m"].alias("m"), a["all"].alias("all"),
-                     a["head"]["n"].alias("h"),
-                     _fitting(F.reverse(rest), a["m"] - a["head"]["used"] - 1)["n"].alias("t")),
-            finish,
-        )
-
-    def finish(a: Column) -> Column:
-        head = F.slice(a["ss"], F.lit(1), a["h"])
-        tail = F.slice(a["ss"], F.size(a["ss"]) - a["t"] + 1, a["t"])
-        both = F.concat(F.array_join(head, " "), F.lit("…"), F.array_join(tail, " "))
-        return F.when(
-            (a["h"] == 0) & (a["t"] == 0), sample_head_tail(a["all"], a["m"], LEAD_SHARE)
-        ).otherwise(both)
-
-    def choose(a: Column) -> Column:
-        return (
-            F.when(F.size(a["ss"]) == 0, F.lit(""))
-            .when(F.length(a["all"]) <= a["m"], a["all"])
-            .when(a["m"] <= 2, F.lit("…").substr(F.lit(1), a["m"]))
-            .otherwise(let(a, with_head))
-        )
-
-    return let(
-        F.struct(sentences.alias("ss"), limit.alias("m"), F.array_join(sentences, " ").alias("all")),
-        choose,
-    )
-
-
-def _packed(lead: Column, optional: Column, budget: Column) -> Column:
-    """Lead, then optional parts while they fit; the first that does not is cut and ends it."""
-
-    def step(acc: Column, part: Column) -> Column:
-        room = budget - acc["used"] - 3
-        fits = F.length(part) <= room
-        added = F.when(fits, part).otherwise(
-            F.concat(part.substr(F.lit(1), room - 1), F.lit("…"))
-        )
-        return F.when(acc["full"] | (part == ""), acc).otherwise(
-            F.struct(
-                F.when(fits | (room >= SHORTEST_QUOTE),
-                       F.concat(acc["text"], F.lit(" — "), added)).otherwise(acc["text"]).alias("text"),
-                F.when(fits, acc["used"] + 3 + F.length(part)).otherwise(budget).alias("used"),
-                (~fits).alias("full"),
-            )
-        )
-
-    zero = F.struct(lead.alias("text"), F.length(lead).alias("used"), F.lit(False).alias("full"))
-    return F.when(lead == "", F.lit("")).otherwise(
-        F.aggregate(optional, zero, step, lambda a: a["text"])
-    )
-
 
 def recall_line(title: Column, text: Column, max_chars: int = 300) -> Column:
-    """One line for a block: title, lead, conclusions and a sample, at most ``max_chars``."""
+    """One line for a block: title, lead, conclusions and a sample, at most ``max_chars``; made in batches."""
     limit = max(50, max_chars)
 
-    def row(**cols: Column) -> Column:
-        return F.struct(*(c.alias(n) for n, c in cols.items()))
-
-    def lines(a: Column) -> Column:
-        cleaned = F.filter(
-            F.transform(F.split(neutralize_headers(a["raw"]), "\n"), strip_line_markup),
-            lambda x: (x != "") & (x != a["title"]),
-        )
-        return let(row(title=a["title"], raw=a["raw"], cleaned=cleaned), segments)
-
-    def segments(a: Column) -> Column:
-        return let(
-            row(title=a["title"], raw=a["raw"], cleaned=a["cleaned"],
-                seg=question_answer_lines(a["cleaned"])),
-            leads,
-        )
-
-    def leads(a: Column) -> Column:
-        answers = a["seg"]["answers"]
-        answered = F.size(answers) > 0
-        body = F.when((F.size(a["seg"]["body"]) == 0) & ~answered, a["cleaned"]).otherwise(
-            a["seg"]["body"]
-        )
-        said = F.array_join(answers, " ")
-        sample = F.when(F.size(body) > 0, F.array_join(body, " ")).otherwise(said)
-        return let(
-            row(
-                title=a["title"], raw=a["raw"], answered=answered, said=said,
-                lead=fold_adjacent_sentences(
-                    F.when(answered, said).otherwise(F.coalesce(F.get(body, F.lit(0)), F.lit("")))
-                ),
-                sample=fold_adjacent_sentences(K.collapse_ws(sample)),
-                budget=F.lit(limit)
-                - F.when(a["title"] == "", 0).otherwise(F.length(a["title"]) + 3),
-            ),
-            quotes,
-        )
-
-    def quotes(a: Column) -> Column:
-        share = F.when(a["answered"], 0.8).otherwise(LEAD_SHARE)
-        cap = F.greatest(F.lit(SHORTEST_QUOTE), F.ceil(a["budget"] * share).cast("int"))
-        part = F.when(a["lead"] == "", F.lit("")).otherwise(
-            sample_head_tail(a["lead"], F.when(a["budget"] > cap * 1.5, cap).otherwise(a["budget"]))
-        )
-        return let(
-            row(a=a, part=part, emitted=split_sentences(a["lead"]),
-                source=F.when(a["answered"], a["said"]).otherwise(a["raw"])),
-            conclusions,
-        )
-
-    def conclusions(b: Column) -> Column:
-        found = F.filter(
-            split_sentences(b["source"]),
-            lambda s: (F.length(s) >= SHORTEST_QUOTE) & (F.length(s) <= LONGEST_QUOTE)
-            & ~is_table_row(s) & K.is_conclusion(s) & ~F.array_contains(b["emitted"], s),
-        )
-        kept = _drop_lead_repeats(F.slice(F.array_distinct(found), 1, 2), b["part"])
-        return let(row(a=b["a"], part=b["part"], emitted=b["emitted"], conclusions=kept), assemble)
-
-    def assemble(b: Column) -> Column:
-        a = b["a"]
-        pool = F.when(a["answered"], a["said"]).otherwise(a["sample"])
-        rest = _drop_lead_repeats(
-            _drop_said(split_sentences(pool), F.concat(b["emitted"], b["conclusions"])), b["part"]
-        )
-        tail = F.greatest(
-            F.lit(SHORTEST_QUOTE), F.ceil(a["budget"] * (1 - LEAD_SHARE)).cast("int"),
-            a["budget"] - F.length(b["part"]) - 3,
-        )
-        return let(
-            row(a=a, part=b["part"], conclusions=b["conclusions"], tail=_head_and_tail(rest, tail)),
-            join,
-        )
+    def made(titles: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array((line_of(a.as_py(), b.as_py(), limit) for a, b in zip(titles, texts)), pa.string())
 
-    def join(b: Column) -> Column:
-        a = b["a"]
-        alone = (b["tail"] == "") & (F.size(b["conclusions"]) == 0)
-        lead = F.when(
-            alone & (F.length(a["lead"]) > F.length(b["part"])),
-            sample_head_tail(a["lead"], a["budget"]),
-        ).otherwise(b["part"])
-        packed = let(
-            row(lead=lead, optional=F.concat(b["conclusions"], F.array(b["tail"])),
-                budget=a["budget"]),
-            lambda p: _packed(p["lead"], p["optional"], p["budget"]),
-        )
-        fallback = K.trim_ws(
-            sample_head_tail(
-                F.when(a["lead"] != "", a["lead"]).otherwise(a["sample"]), a["budget"]
-            )
-        )
-        return let(row(a=a, packed=packed, fallback=fallback), finish)
+    return F.arrow_udf(made, "string")(title.cast("string"), text.cast("string"))
 
-    def finish(b: Column) -> Column:
-        a = b["a"]
-        text = F.when(b["packed"] != "", b["packed"]).otherwise(b["fallback"])
-        titled = F.concat_ws(" — ", F.nullif(a["title"], F.lit("")), F.nullif(text, F.lit("")))
-        cramped = F.when(
-            a["budget"] <= 0, F.concat(F.substring(a["title"], 1, limit - 1), F.lit("…"))
-        ).otherwise(
-            F.concat(a["title"], F.lit(" — "), sample_head_tail(a["lead"], a["budget"]))
-        )
-        line = let(
-            K.collapse_ws(titled),
-            lambda x: F.when(F.length(x) <= limit, x).otherwise(
-                F.concat(F.substring(x, 1, limit - 1), F.lit("…"))
-            ),
-        )
-        return F.when((a["budget"] <= SHORTEST_QUOTE) & (a["title"] != ""), cramped).otherwise(line)
 
-    return let(
-        row(
-            title=neutralize_headers(K.trim_ws(F.coalesce(title, F.lit("")))),
-            raw=F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"),
-        ),
-        lines,
-    )
+def _token_set(text: str) -> Column:
+    return F.array_distinct(text_tokens(F.col(text)))
 
 
 def fresh_hits(
@@ -319,7 +48,7 @@ def fresh_hits(
     rows = spread(picked, *ident).withColumn("line", recall_line(F.col("title"), F.col("text"), max_chars))
     no = F.lit(False)
     rows = rows.withColumns({
-        "_line": K.token_set(F.col("line")), "_body": K.token_set(F.col("text")),
+        "_line": _token_set("line"), "_body": _token_set("text"),
         "_title": K.trim_ws(F.coalesce("title", F.lit(""))),
         "_seen_fp": no, "_boosted": no, "_seen_text": no,
     })
@@ -327,7 +56,7 @@ def fresh_hits(
         rows = settle(rows.drop("_seen_fp", "_seen_text"))
         fps = injected.where("fp is not null").select("session", "fp", F.lit(True).alias("_seen_fp")).distinct()
         shown = settle(injected.select("session", F.col("line").alias("_shown")).distinct())
-        lines = settle(shown.withColumn("_line", K.token_set(F.col("_shown"))))
+        lines = settle(shown.withColumn("_line", _token_set("_shown")))
         alike = similar_pairs(rows, lines, ["session"], ["query_id", "place"], ["_shown"], "_line", V.NEAR_DUPLICATE)
         seen = alike.select(*ident, F.lit(True).alias("_seen_text")).distinct()
         rows = (
@@ -335,12 +64,10 @@ def fresh_hits(
             .withColumns({c: F.coalesce(c, no) for c in ("_seen_fp", "_seen_text")})
         )
     if dedupe and boost is not None:
-        rows = rows.join(boost, "session", "left").withColumn(
-            "_boosted",
-            F.coalesce(
-                K.containment(F.col("_line"), K.token_set(F.col("boost"))) >= V.NEAR_DUPLICATE, no
-            ),
-        ).drop("boost")
+        queued = boost.withColumn("_queued", _token_set("boost")).drop("boost")
+        rows = rows.join(queued, "session", "left").withColumn(
+            "_boosted", F.coalesce(K.containment(F.col("_line"), F.col("_queued")) >= V.NEAR_DUPLICATE, no)
+        ).drop("_queued")
     gated = rows.withColumn(
         "_gate",
         F.when(F.col("_seen_fp"), "injected-fp")
