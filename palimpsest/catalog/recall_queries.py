@@ -58,7 +58,7 @@ SELECT session, ord, other, round(likeness, 9) AS likeness FROM p WHERE likeness
 )
 def similar_records(spark, sf_dir):
     """Records of one session that begin alike: the first words of each as the line that was shown."""
-    begun = F.array_join(F.slice(F.split("text", " "), 1, _FIRST_WORDS), " ")
+    begun = F.substring_index("text", " ", _FIRST_WORDS)
     rows = stored_records(spark, sf_dir).select("session", "ord", K.token_set(begun).alias("line"))
     found = similar_pairs(
         rows, None, ["session"], ["ord"], ["other"], "line", V.NEAR_DUPLICATE,
